@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch handed to Python, and bytes of text worked on at once.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 SLICE_BYTES = 8 << 20
 
 
@@ -19,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_ready(df: DataFrame) -> DataFrame:
     """Keeps the Arrow batches of Python stages small, as texts can be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -3,9 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestitch.llm import simhash
+from lodestitch.llm import decontaminate, mixing, secrets, simhash, substring, warc
 from lodestitch.llm.base import table
+from lodestitch.operators.scratch import Scratch
+
+
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'warc').path}/archive"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    captures = warc.captured_pages(warc.assemble(warc.read_records(spark, path, with_payload=False)))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +40,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_ownership": op1_secret_ownership,
+    "op2_warc_transactions": op2_warc_transactions,
+    "op3_decontamination": op3_decontamination,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
