@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestitch.llm import decontaminate, mixing, secrets, simhash, substring, warc
+from lodestitch.llm import decontaminate, htmltext, mixing, secrets, simhash, substring, tokencount, toxicity, vectors, warc
 from lodestitch.llm.base import table
 from lodestitch.operators.scratch import Scratch
 
 
+#: The public vocabulary the token counts use.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -26,14 +30,33 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    automaton = tokencount.Automaton(*tokencount.byte_level_pieces(vocabulary))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), automaton)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(found.fp).alias("fingerprint"), "component_id")
@@ -43,8 +66,12 @@ QUERIES = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_decontamination": op3_decontamination,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
+    "op7_main_text": op7_main_text,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
