@@ -75,6 +75,17 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - rest], a[rest:]) if rest else a
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with neighbouring ones of a document made one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + count)[order]
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    at = np.flatnonzero(head)
+    last = np.append(at[1:], len(doc)) - 1 if len(at) else at
+    return doc[at], start[at], end[last] - start[at]
+
+
 class _Hasher:
     """Runs of windows of a list of texts; the word cache lives as long as the task."""
 
@@ -143,6 +154,10 @@ def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return _signed(_mix(doc.astype(np.uint64) * _B + start.astype(np.uint64)))
 
 
+def _columns(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+    return [pa.array(k1), pa.array(k2), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))]
+
+
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """``(d, spans)`` per document that loses words: packed ``start << 32 | count`` runs of windows.
 
@@ -178,18 +193,15 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = _Hasher(window), [], 0
+        names = ["k1", "k2", "d", "s", "n", "windows", "known"]
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             span, anchor, doc, start, count = (np.concatenate([h[i] for h in held]) for i in range(5))
             blobs = [x for h in held for x in h[5]]
             ship, settled = _settle((span, anchor), doc, start)
-            rows = np.concatenate([ship, settled])
-            known = np.arange(len(rows)) >= len(ship)
-            k1 = np.where(known, _spread(doc[rows], start[rows]), _signed(span[rows]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(k1), pa.array(_signed(anchor[rows])), pa.array(doc[rows]), pa.array(start[rows].astype(np.int32)), pa.array(count[rows].astype(np.int32)), pa.array([b"" if k else blobs[i] for i, k in zip(rows.tolist(), known.tolist())], pa.binary()), pa.array(known)],
-                names=["k1", "k2", "d", "s", "n", "windows", "known"],
-            )
+            yield pa.RecordBatch.from_arrays([*_columns(_signed(span[ship]), _signed(anchor[ship]), doc[ship], start[ship], count[ship]), pa.array([blobs[i] for i in ship.tolist()], pa.binary()), pa.array(np.zeros(len(ship), bool))], names=names)
+            d, s, n = _joined(doc[settled], start[settled], count[settled])
+            yield pa.RecordBatch.from_arrays([*_columns(_spread(d, s), np.zeros(len(d), np.int64), d, s, n), pa.array([b""] * len(d), pa.binary()), pa.array(np.ones(len(d), bool))], names=names)
 
         for batch in batches:
             texts, ids, chosen = raw_texts(batch, 1), batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
@@ -206,10 +218,10 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
                 held.append((span[keep], anchor[keep], ids[a:b][of[keep]], start[keep], count[keep], blobs))
                 size += 100 * len(keep) + sum(map(len, blobs))
                 if size >= BLOCK_BYTES:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -217,17 +229,19 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             key, anchor, doc, start = (np.concatenate(x) for x in zip(*held))
             ship, settled = _settle((key, anchor), doc, start)
-            yield emit(_signed(key[ship]), _signed(anchor[ship]), doc[ship], start[ship], np.ones(len(ship), np.int32), False)
-            yield emit(_spread(doc[settled], start[settled]), _signed(anchor[settled]), doc[settled], start[settled], np.ones(len(settled), np.int32), True)
+            yield emit(_signed(key[ship]), _signed(anchor[ship]), doc[ship], start[ship], np.ones(len(ship)), False)
+            d, s, n = _joined(doc[settled], start[settled], np.ones(len(settled), np.int64))
+            yield emit(_spread(d, s), np.zeros(len(d), np.int64), d, s, n, True)
 
         def emit(k1, k2, doc, start, count, known: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(np.full(len(doc), known))], names=["k1", "k2", "d", "s", "n", "known"])
+            return pa.RecordBatch.from_arrays([*_columns(k1, k2, doc, start, count), pa.array(np.full(len(doc), known))], names=["k1", "k2", "d", "s", "n", "known"])
 
         for batch in batches:
             k2, doc, start, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             gone = batch.column(5).to_numpy(zero_copy_only=False)
             if gone.any():
-                yield emit(_spread(doc[gone], start[gone]), k2[gone], doc[gone], start[gone], count[gone], True)
+                d, s, n = _joined(doc[gone], start[gone], count[gone])
+                yield emit(_spread(d, s), np.zeros(len(d), np.int64), d, s, n, True)
             stay = np.flatnonzero(~gone)
             if len(stay):
                 hashes = np.frombuffer(b"".join(batch.column(4).take(pa.array(stay)).to_pylist()), "<u8")
