@@ -97,6 +97,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return joined.select("doc_id", F.array_sort(kept).alias("spans"))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mask: str = "[secret]", **more) -> DataFrame:
+    """``docs`` with every span that ``scan`` reports replaced by ``mask``.
+
+    Rows are matched by id and text, so repeated rows and null ids are redacted alike;
+    a null text stays null.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(owner_col).alias("o")).withColumn("h", F.xxhash64(F.coalesce(F.col("t").cast("string"), F.lit(""))))
+    # The id that scan carries along is the pair's hash; spans of equal pairs are equal.
+    found = scan(rows.withColumn("pair", F.xxhash64("i", "h")), "pair", "t", "o", "i", **more).where(F.size("spans") > 0)
+    spans = found.groupBy(F.col("doc_id").alias("__pair")).agg(F.first("spans").alias("__spans"))
+    text = F.col(text_col).cast("string")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = s["end"] <= acc["at"]
+        piece = F.when(s["start"] > acc["at"], F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).when(acc["at"] == 0, F.lit(mask)).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
+
+    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    joined = docs.withColumn("__pair", F.xxhash64(F.col(id_col), mark)).join(spans, "__pair", "left")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)
+
+
 def digest(found: DataFrame, max_live_owners: int = 1) -> DataFrame:
     """The counts and joined forms of ``scan``'s spans."""
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)

@@ -154,12 +154,13 @@ def _grams(word: str) -> set[str]:
 def _stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     """Letter sequences that mark toxic texts beyond chance, over all sequences tried.
 
-    Only words count that hardly any other clean text has: a harmless word that begins
+    Only words count that hardly any other clean text has, given how many toxic ones do: a harmless word that begins
     like an insult is common among clean texts and would hide the sequence.
     """
     freq = Counter(w for words in clean for w in words)
-    toxic = [{w for w in words if freq[w] <= 1} for words in toxic]
-    clean = [{w for w in words if freq[w] <= 2} for words in clean]
+    seen = Counter(w for words in toxic for w in words)
+    toxic = [{w for w in words if freq[w] <= max(1, 0.1 * seen[w])} for words in toxic]
+    clean = [{w for w in words if freq[w] - 1 <= max(1, 0.1 * seen[w])} for words in clean]
     cache: dict[str, set[str]] = {}
 
     def grams(words: set[str], within: Counter | None = None) -> set[str]:
