@@ -25,7 +25,7 @@ def last_write_wins(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataF
 
 def canonical_pairs(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """Pairs with ordered ends; the first blocking key stays."""
-    ends = rows.withColumn("entity_a_id", F.least(rows.entity_a_id, rows.entity_b_id)).withColumn("entity_b_id", F.greatest(rows.entity_a_id, rows.entity_b_id))
+    ends = rows.select(F.least("entity_a_id", "entity_b_id").alias("entity_a_id"), F.greatest("entity_a_id", "entity_b_id").alias("entity_b_id"), "blocking_key", seq)
     return ends.groupBy("entity_a_id", "entity_b_id").agg(F.min_by("blocking_key", F.col(seq)).alias("blocking_key"), F.min(seq).alias(seq))
 
 
