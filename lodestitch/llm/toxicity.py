@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from lodestitch.llm.base import arrow_ready
 
 #: Texts of either label that a fit takes at most; it picks them by a hash of their id.
-MAX_TOXIC, MAX_CLEAN = 1_500, 4_500
+MAX_TOXIC, MAX_CLEAN = 1_200, 3_600
 #: Turns in which harmless words that score high join the negative examples, and words looked at.
-MINING_TURNS, MINED_WORDS = 4, 120_000
+MINING_TURNS, MINED_WORDS = 4, 80_000
 #: Texts of the sample on which the logistic curve is fitted.
 CURVE_TEXTS = 1_500
 ORDER, DECAY = 3, 0.7
@@ -40,7 +40,7 @@ MAX_STEMS, MAX_LANDMARKS = 48, 128
 #: How much likelier, at least, a text labelled 1 has to be for a sequence to be looked into.
 LEAST_ODDS = 3.0
 #: Longer words are scored in overlapping pieces of this many letters.
-PIECE = 48
+PIECE = 24
 THRESHOLD = 0.3
 #: Steepest curve, so that words near the border keep middling scores.
 MAX_SLOPE = 8.0
@@ -60,56 +60,92 @@ def words_of(text: str | None) -> set[str]:
     return words
 
 
-def _codes(words: list[str], width: int) -> np.ndarray:
-    return np.array([w.ljust(width, "\0") for w in words], dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
+def _by_length(words: list[str], most: int = 4096) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places of words of one length, and their characters, one row per position."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    start = 0
+    while start < len(order):
+        size, end = len(words[order[start]]), start + 1
+        while end < len(order) and end - start < most and len(words[order[end]]) == size:
+            end += 1
+        places = order[start:end]
+        if size:
+            yield places, np.array([words[i] for i in places], dtype=f"<U{size}").view(np.uint32).reshape(len(places), size).T
+        start = end
+
+
+class Landmarks:
+    """The landmarks' subsequences as a table.
+
+    A subsequence of three letters is one cell of ``(letter, letter, letter)``, so the
+    kernel of a word with all landmarks is a sum of table rows over the word's triples.
+    """
+
+    def __init__(self, marks: list[str]):
+        self.marks = marks
+        self.letters = np.array(sorted({ord(c) for w in marks for c in w}), dtype=np.uint32)
+        n = len(self.letters) + 1
+        self.table = np.zeros((n**3, len(marks)), np.float32)
+        for k, mark in enumerate(marks):
+            codes = self._codes(np.array([[ord(c)] for c in mark], dtype=np.uint32))[:, 0]
+            for i in range(len(mark)):
+                for j in range(i + 1, len(mark)):
+                    for l in range(j + 1, len(mark)):
+                        self.table[(codes[i] * n + codes[j]) * n + codes[l], k] += DECAY ** (l - i + 1)
+        self.own = (self.table**2).sum(axis=0)
+
+    def _codes(self, chars: np.ndarray) -> np.ndarray:
+        """Numbers of letters; 0 for those that no landmark has."""
+        if not len(self.letters):
+            return np.zeros(chars.shape, np.intp)
+        at = np.minimum(np.searchsorted(self.letters, chars), len(self.letters) - 1)
+        return np.where(self.letters[at] == chars, at + 1, 0).astype(np.intp)
+
+    def sums(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """Sum of table cells over the triples of each word, weighted by their spans."""
+        n = len(self.letters) + 1
+        out = np.zeros((len(words), *table.shape[1:]), np.float32)
+        for places, chars in _by_length(words, 4096 if table.ndim == 1 else 512):
+            c, total = self._codes(chars), np.zeros((len(places), *table.shape[1:]), np.float32)
+            for i in range(len(c)):
+                for j in range(i + 1, len(c)):
+                    two = (c[i] * n + c[j]) * n
+                    for l in range(j + 1, len(c)):
+                        total += DECAY ** (l - i + 1) * table[two + c[l]]
+            out[places] = total
+        return out
+
+    def similarity(self, words: list[str]) -> np.ndarray:
+        """The kernel with every landmark, normalised by both lengths."""
+        return self.sums(words, self.table) / np.sqrt(np.maximum(self_kernel(words)[:, None] * self.own, 1e-12))
 
 
 def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Gap-weighted subsequence kernel of order ``ORDER``, not normalised."""
-    if not words or not marks:
-        return np.zeros((len(words), len(marks)), np.float32)
-    s, t = _codes(words, max(map(len, words))), _codes(marks, max(map(len, marks)))
-    n, m, width = len(words), len(marks), t.shape[1]
-    t = np.where(t == 0, np.uint32(0xFFFFFFFF), t)
-    prime = [np.ones((n, m, width + 1), np.float32)] + [np.zeros((n, m, width + 1), np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros((n, m), np.float32)
-    for i in range(s.shape[1]):
-        same = (s[:, i, None, None] == t[None]).astype(np.float32)
-        total += DECAY**2 * (same * prime[ORDER - 1][:, :, :width]).sum(axis=2)
-        for q in range(ORDER - 1, 0, -1):
-            run = np.zeros((n, m), np.float32)
-            gain = same * prime[q - 1][:, :, :width]
-            prime[q] *= DECAY
-            for j in range(width):
-                run = DECAY * run + DECAY**2 * gain[:, :, j]
-                prime[q][:, :, j + 1] += run
-    return total
+    held = Landmarks(marks)
+    return held.sums(words, held.table)
 
 
 def self_kernel(words: list[str]) -> np.ndarray:
-    """The kernel of each word with itself."""
-    s = _codes(words, max(map(len, words)))
-    n, width = s.shape
-    t = np.where(s == 0, np.uint32(0xFFFFFFFF), s)
-    prime = [np.ones((n, width + 1), np.float32)] + [np.zeros((n, width + 1), np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros(n, np.float32)
-    for i in range(width):
-        same = (s[:, i, None] == t).astype(np.float32)
-        total += DECAY**2 * (same * prime[ORDER - 1][:, :width]).sum(axis=1)
-        for q in range(ORDER - 1, 0, -1):
-            run = np.zeros(n, np.float32)
-            gain = same * prime[q - 1][:, :width]
-            prime[q] *= DECAY
-            for j in range(width):
-                run = DECAY * run + DECAY**2 * gain[:, j]
-                prime[q][:, j + 1] += run
-    return total
-
-
-def similarity(words: list[str], marks: list[str], own: np.ndarray) -> np.ndarray:
-    """The kernel, normalised; ``own`` is the landmarks' self kernel."""
-    norm = np.sqrt(np.maximum(self_kernel(words)[:, None] * own[None, :], 1e-12))
-    return kernel(words, marks) / norm
+    """The kernel of each word with itself, by dynamic programming over all letters."""
+    out = np.zeros(len(words), np.float32)
+    for places, s in _by_length(words):
+        width, n = s.shape
+        prime = [np.ones((width + 1, n), np.float32)] + [np.zeros((width + 1, n), np.float32) for _ in range(ORDER - 1)]
+        total = np.zeros(n, np.float32)
+        for i in range(width):
+            same = s == s[i]
+            total += DECAY**2 * (same * prime[ORDER - 1][:width]).sum(axis=0)
+            for q in range(ORDER - 1, 0, -1):
+                run = np.zeros(n, np.float32)
+                gain = (DECAY**2 * same) * prime[q - 1][:width]
+                prime[q] *= DECAY
+                for j in range(width):
+                    run *= DECAY
+                    run += gain[j]
+                    prime[q][j + 1] += run
+        out[places] = total
+    return out
 
 
 @dataclass
@@ -123,7 +159,10 @@ class Model:
     offset: float = -20.0
 
     def __post_init__(self):
-        self.own = self_kernel(self.marks) if self.marks else np.zeros(0, np.float32)
+        self.landmarks = Landmarks(self.marks)
+        # The weighted sum over landmarks is a sum over their subsequences: one table, one look-up a triple.
+        scale = np.asarray(self.weights) / np.sqrt(np.maximum(self.landmarks.own, 1e-12)) if self.marks else np.zeros(0, np.float32)
+        self.table = (self.landmarks.table @ scale).astype(np.float32)
 
     def words(self, words: list[str]) -> np.ndarray:
         """SVM scores of words; those too short for the kernel get the bias."""
@@ -136,12 +175,11 @@ class Model:
                 pieces.append((i, word))
             elif len(word) > PIECE:
                 pieces += [(i, word[a : a + PIECE]) for a in range(0, len(word) - PIECE // 2, PIECE // 2)]
-        pieces.sort(key=lambda p: len(p[1]))
-        for at in range(0, len(pieces), 1024):
-            part = pieces[at : at + 1024]
-            score = similarity([w for _, w in part], self.marks, self.own) @ self.weights + self.bias
-            np.maximum.at(out, [i for i, _ in part], score)
-        return out
+        texts = [w for _, w in pieces]
+        score = self.landmarks.sums(texts, self.table) / np.sqrt(np.maximum(self_kernel(texts), 1e-12)) + self.bias
+        long = np.full(len(words), -np.inf, np.float32)
+        np.maximum.at(long, [i for i, _ in pieces], score)
+        return np.where(np.isfinite(long), long, out)
 
     def probability(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
@@ -161,28 +199,13 @@ def _stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     seen = Counter(w for words in toxic for w in words)
     toxic = [{w for w in words if freq[w] <= max(1, 0.1 * seen[w])} for words in toxic]
     clean = [{w for w in words if freq[w] - 1 <= max(1, 0.1 * seen[w])} for words in clean]
-    cache: dict[str, set[str]] = {}
-
-    def grams(words: set[str], within: Counter | None = None) -> set[str]:
-        found = set()
-        for w in words:
-            g = cache.get(w)
-            if g is None:
-                g = _grams(w)
-                if within is not None:
-                    g = {x for x in g if x in within}
-                cache[w] = g
-            found |= g
-        return found
-
     t = Counter()
     for words in toxic:
-        t.update(grams(words))
+        t.update({g for w in words for g in _grams(w)})
     t = Counter({g: n for g, n in t.items() if n >= 3})
-    cache.clear()
     c = Counter()
     for words in clean:
-        c.update(grams(words, t))
+        c.update({g for w in words for g in _grams(w) if g in t})
     share = len(toxic) / max(1, len(toxic) + len(clean))
     need = math.log(max(2, len(t))) + 3
 
@@ -289,22 +312,22 @@ def train(toxic: list[set[str]], clean: list[set[str]], prior: float) -> Model:
     for s in stems:
         marks += [w for w in decoys if s in w and len(w) <= 13][:2]
     marks = list(dict.fromkeys(marks + [w for w in close if len(w) <= 12][:16]))[:MAX_LANDMARKS]
-    own = self_kernel(marks)
-    centre = similarity(marks, marks, own)
+    held = Landmarks(marks)
+    centre = held.similarity(marks)
     values, vectors = np.linalg.eigh(centre.astype(np.float64))
     keep = values > 1e-4
     root = vectors[:, keep] / np.sqrt(values[keep])
     chosen = set(bad)
     rest = [w for w in by_use if w not in positive and w not in chosen][:MINED_WORDS]
     hard = set(decoys)
-    x_good, x_bad = _features(good, marks, own, root), _features(bad, marks, own, root)
+    x_good, x_bad = _features(good, held, root), _features(bad, held, root)
     for turn in range(MINING_TURNS):
         groups = [[1 + math.log(positive[w]) for w in good], [(1 + math.log(freq[w])) * (w in hard) for w in bad], [(1 + math.log(freq[w])) * (w not in hard) for w in bad]]
         cost = np.concatenate([1_000 * np.array(groups[0]) / sum(groups[0]), sum(1_000 * np.array(g) / max(sum(g), 1e-9) for g in groups[1:])])
         w, bias = _svm(np.vstack([x_good, x_bad]), np.array([1.0] * len(good) + [-1.0] * len(bad)), cost)
         model = Model(marks, (root @ w).astype(np.float32), bias)
         if turn == 0:
-            x_rest = _features(rest, marks, own, root)
+            x_rest = _features(rest, held, root)
         value = x_rest @ w + bias
         worst = [i for i in np.argsort(-value, kind="stable")[:2000].tolist() if value[i] > -0.7 and rest[i] not in chosen]
         if not worst:
@@ -337,9 +360,9 @@ def _best_cut(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> float:
     return float((z[at] + z[at + 1]) / 2) if at + 1 < len(z) else float(z[at])
 
 
-def _features(words: list[str], marks: list[str], own: np.ndarray, root: np.ndarray) -> np.ndarray:
+def _features(words: list[str], held: Landmarks, root: np.ndarray) -> np.ndarray:
     """Nystroem features of words."""
-    return np.vstack([np.zeros((0, root.shape[1]))] + [similarity(words[a : a + 1024], marks, own) @ root for a in range(0, len(words), 1024)])
+    return np.vstack([np.zeros((0, root.shape[1]))] + [held.similarity(words[a : a + 20_000]) @ root for a in range(0, len(words), 20_000)])
 
 
 def held_out(doc_id):
