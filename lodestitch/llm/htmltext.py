@@ -403,6 +403,8 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 11) -> Boosted:
     return Boosted().fit(np.vstack(xs), np.concatenate(ys).astype(float))
 
 
+_PAGES_AT_ONCE = 256
+
 #: Share of an ancestor's evidence that reaches its children, and of log-odds at which a node goes.
 INHERIT, CUT = 0.4, 0.0
 
@@ -420,27 +422,32 @@ def dropped(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return gone
 
 
-def main_text(page: str | None, model: Boosted) -> str:
-    """The kept blocks of a page, in order, joined by single spaces."""
-    nodes, texts = parse(page or "")
-    if not texts:
-        return ""
-    gone = dropped(nodes, model.log_odds(features(nodes, texts)))
-    kept = []
-    for node, text, _ in texts:
-        if text is None or gone[node]:
-            kept.append((node, " "))
-        else:
-            kept.append((node, text))
+def _joined(nodes: list[Node], texts: list[tuple[int, str | None, bool]], odds: np.ndarray) -> str:
+    gone = dropped(nodes, odds)
     pieces, last = [], None
-    for node, text in kept:
+    for node, text, _ in texts:
         if node != last:
             pieces.append(" ")
             last = node
-        pieces.append(text)
+        pieces.append(" " if text is None or gone[node] else text)
     return " ".join(html.unescape("".join(pieces)).split())
 
 
+def main_texts(pages: list[str | None], model: Boosted) -> list[str]:
+    """The kept blocks of each page, in order, joined by single spaces; the trees run once over all pages."""
+    out = []
+    for start in range(0, len(pages), _PAGES_AT_ONCE):
+        parsed = [parse(p or "") for p in pages[start : start + _PAGES_AT_ONCE]]
+        odds = model.log_odds(np.vstack([features(*p) for p in parsed]))
+        at = np.cumsum([0] + [len(nodes) for nodes, _ in parsed])
+        out += [_joined(nodes, texts, odds[a:b]) for (nodes, texts), a, b in zip(parsed, at[:-1], at[1:])]
+    return out
+
+
+def main_text(page: str | None, model: Boosted) -> str:
+    return main_texts([page], model)[0]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", training_pages: int = TRAINING_PAGES) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per input row.
 
@@ -452,7 +459,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [main_text(t, model) for t in batch.column(2).to_pylist()]
+            texts = main_texts(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     base = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
