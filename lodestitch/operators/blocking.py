@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestitch.functions import text as T
+from lodestitch.operators.numbering import number_rows
 
 
 def _tokens() -> Column:
@@ -67,14 +67,9 @@ def block(entities: DataFrame, max_block_size: int = 60, strategies=None) -> Dat
 
 
 def number_pairs(pairs: DataFrame) -> DataFrame:
-    """Consecutive ids by strategy, first block member and ends, counted per strategy and block."""
-    order = Window.partitionBy("strategy", "first").orderBy("a", "b")
-    sizes = pairs.groupBy("strategy", "first").agg(F.count(F.lit(1)).alias("n"))
-    per = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("strategy").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = sizes.groupBy("strategy").agg(F.sum("n").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("strategy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offset = per.join(total, "strategy").select("strategy", "first", (F.col("before") + F.col("base")).alias("offset"))
-    numbered = pairs.withColumn("i", F.row_number().over(order)).join(offset, ["strategy", "first"])
-    return numbered.select((F.col("offset") + F.col("i")).cast("long").alias("id"), F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id"), F.col("key").alias("blocking_key"), F.lit(None).cast("double").alias("similarity_score"))
+    """Consecutive ids by strategy, first member of the block and ends."""
+    numbered = number_rows(pairs, ["strategy", "first", "a", "b"])
+    return numbered.select("id", F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id"), F.col("key").alias("blocking_key"), F.lit(None).cast("double").alias("similarity_score"))
 
 
 def skipped_blocks(entities: DataFrame, max_block_size: int = 60, strategies=None) -> DataFrame:

@@ -4,23 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestitch.functions import text as T
+from lodestitch.operators.numbering import number_rows
 
 
 def with_ids(loaded: DataFrame, *order: str) -> DataFrame:
-    """Consecutive ids from 1 in the given order.
-
-    Ids count rows before a row's group of equal first order column, then within it, so
-    the only global step is over group sizes.
-    """
-    if not order:
-        order = ("source_order", "row")
-    sizes = loaded.groupBy(order[0]).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:]))
-    return loaded.withColumn("_i", within).join(sizes.select(order[0], before.alias("_b")), order[0]).withColumn("id", (F.col("_b") + F.col("_i")).cast("long")).drop("_i", "_b")
+    """Consecutive ids from 1 in the given order."""
+    return number_rows(loaded, list(order or ("source_order", "row")))
 
 
 def normalize(entities: DataFrame, use_structured_fields: bool = False) -> DataFrame:
