@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -89,20 +90,33 @@ def expand(tokens: Column, mapping: dict[str, str]) -> Column:
     return F.transform(tokens, lambda w: F.coalesce(F.try_element_at(table, w), w))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def name_parts(raw_name: Column) -> Column:
     """Struct of ``normalized_name``, ``legal_suffix`` and ``name_core_tokens``.
 
-    The suffix is the first legal form of the list that the name holds; all forms are taken out.
+    The suffix is the first legal form of the list that the name holds; all forms are
+    taken out.  As every form is one word, none hides or uncovers another.
     """
-    text, suffixes = basic_clean(raw_name), []
-    for form, spellings in LEGAL_FORMS:
-        pattern = rf"(?U)\b(?:{spellings})\b"
-        suffixes.append(F.when(text.rlike(pattern), F.lit(form)))
-        text = F.regexp_replace(text, pattern, " ")
-    suffix = F.coalesce(*suffixes, F.lit(""))
     forms = [form for form, _ in LEGAL_FORMS]
-    core = expand(F.filter(words(squeeze(text)), lambda w: ~w.isin(forms)), NAME_WORDS)
-    return F.struct(F.array_join(F.filter(F.concat(core, F.array(suffix)), lambda w: w != ""), " ").alias("normalized_name"), suffix.alias("legal_suffix"), F.array_sort(F.array_distinct(core)).alias("name_core_tokens"))
+    every = rf"(?U)\b(?:{'|'.join(spellings for _, spellings in LEGAL_FORMS)})\b"
+
+    def parts(text: Column) -> Column:
+        suffix = F.coalesce(*[F.when(text.rlike(rf"(?U)\b(?:{spellings})\b"), F.lit(form)) for form, spellings in LEGAL_FORMS], F.lit(""))
+        core = expand(F.filter(words(squeeze(F.regexp_replace(text, every, " "))), lambda w: ~w.isin(forms)), NAME_WORDS)
+        return F.struct(suffix.alias("suffix"), core.alias("core"))
+
+    return let(
+        let(basic_clean(raw_name), parts),
+        lambda p: F.struct(
+            F.array_join(F.filter(F.concat(p["core"], F.array(p["suffix"])), lambda w: w != ""), " ").alias("normalized_name"),
+            p["suffix"].alias("legal_suffix"),
+            F.array_sort(F.array_distinct(p["core"])).alias("name_core_tokens"),
+        ),
+    )
 
 
 def address_text(raw_address: Column) -> Column:
@@ -126,11 +140,16 @@ def postal_from_address(raw_address: Column) -> Column:
 def city_from_address(raw_address: Column) -> Column:
     """The city of a comma-separated address, by the number of its segments."""
     parts = F.filter(F.transform(F.split(F.coalesce(raw_address, F.lit("")), ","), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
-    last = F.try_element_at(parts, F.lit(-1))
-    at = F.regexp_instr(last, F.lit(POSTAL))
-    without = F.concat(F.substr(last, F.lit(1), at - 1), F.substr(last, at + F.length(F.regexp_substr(last, F.lit(POSTAL)))))
-    city = F.when(F.size(parts) >= 3, F.try_element_at(parts, F.lit(-2))).when(F.size(parts) == 2, F.when(at > 0, without).otherwise(last)).otherwise(F.lit(""))
-    return city_name(city)
+
+    def without_code(last: Column) -> Column:
+        at = F.regexp_instr(last, F.lit(POSTAL))
+        rest = F.concat(F.substr(last, F.lit(1), at - 1), F.substr(last, at + F.length(F.regexp_substr(last, F.lit(POSTAL)))))
+        return F.when(at > 0, rest).otherwise(last)
+
+    def city(p: Column) -> Column:
+        return F.when(F.size(p) >= 3, F.try_element_at(p, F.lit(-2))).when(F.size(p) == 2, let(F.try_element_at(p, F.lit(-1)), without_code)).otherwise(F.lit(""))
+
+    return city_name(let(parts, city))
 
 
 def first_filled(value: Column, otherwise: Column) -> Column:
