@@ -25,7 +25,7 @@ ENTITIES = """SELECT CAST(p.p_partkey AS BIGINT) AS id, concat('s', CAST(p.p_par
  concat(CAST(1000 + b.p_partkey * 37 % 9000 AS STRING), ' Main St', CASE WHEN p.p_partkey % 13 = 0 THEN '' ELSE concat(', City', CAST(b.p_partkey % 11 AS STRING)) END,
   CASE WHEN p.p_partkey % 8 = 0 THEN '' ELSE concat(', ', CAST(10000 + b.p_partkey * 7919 % 89999 AS STRING)) END) AS raw_address
 FROM {part} p JOIN {part} b ON b.p_partkey = p.p_partkey - p.p_partkey % 3"""
-CAP = 8
+CAP = 60
 
 #: Scored pairs between customers: a sparse graph with conflicts.
 SCORED = """SELECT c_custkey AS id, LEAST(c_custkey, other) AS entity_a_id, GREATEST(c_custkey, other) AS entity_b_id, 'k' AS blocking_key, CAST((c_custkey * 37 + 11) % 100 AS DOUBLE) / 100 AS similarity_score
