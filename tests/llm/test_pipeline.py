@@ -58,3 +58,13 @@ def test_empty_and_nulls(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         first = stage(spark, first, str(tmp_path))
         assert first.count() == 0
+
+
+def test_contamination_is_decided_by_row(spark, tmp_path):
+    leak = " ".join(f"leak{i}" for i in range(12))
+    texts = {None: ["clean one", leak, "clean two", None], 7: ["clean three", leak + " and more"], 8: [leak]}
+    docs = [(d, t, "en", "a", 0) for d, ts in texts.items() for t in ts]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = pipeline.drop_contaminated(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(d, t) for d, t, *_ in docs if not t or "leak" not in t}
