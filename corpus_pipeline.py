@@ -50,9 +50,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with size, their source's size and target, and how many of their words the mix takes."""
-    mixed = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
-    mixed = mixed.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in mixed.columns[1:]])
-    return docs.join(mixed, "doc_id", "left")
+    rows = Scratch(spark, "rows").write(docs.withColumn("_row", F.monotonically_increasing_id()))
+    mixed = mixing.mix(rows, keep=("_row",)).select("_row", "size", "source_size", "target", "taken")
+    return rows.join(mixed, "_row", "left").drop("_row")
 
 
 STAGES = [

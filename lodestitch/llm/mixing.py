@@ -68,13 +68,14 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
     return p.groupBy(*group, key, "a", "open").agg(won.alias("won")).select(*group, key, (F.col("a") + F.sign("open").cast("long") * F.col("won")).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 13) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document a mixture by source weights takes.
 
     Sources, in code point order and null last, have the ``weights`` in turn.  The
     budget is the number of words of all documents.  Returns per input row
     ``(doc_id, source, size, source_size, target, taken)``: target is its source's, and
-    taken counts repeats, so it reaches ``MAX_EPOCHS`` times the size at most.
+    taken counts repeats, so it reaches ``MAX_EPOCHS`` times the size at most.  Columns
+    in ``keep``, of other names than these, follow.
 
     * A null or blank text has size 0 and is taken 0 times; a source without words has
       target 0.  The null source is a source like any other.
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     * An empty table gives an empty result.
     """
     store = Scratch(docs.sparkSession, "mix")
-    sizes = store.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size")))
+    sizes = store.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *keep))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = apportion(sources, [], "rank", "target", "seats").withColumnRenamed("quota", "source_quota")
     quotas = store.write(sources.join(quotas, "rank").select("rank", F.col("source").alias("s"), "source_size", "target", "block", "shards", "source_quota"), 1)
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))
-    placed = store.write(sizes.join(quotas, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "block", "source_quota", "rank", shard.alias("shard")))
+    placed = store.write(sizes.join(quotas, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "block", "source_quota", "rank", shard.alias("shard"), *keep))
     shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     dealt = apportion(shards, ["rank"], "shard", "shard_size", "source_quota")
     order = Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
@@ -106,4 +107,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("shard_size") > 0, F.floor(tokens / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     part = tokens - whole * F.col("shard_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part - (F.col("end") - F.col("size"))))
-    return line.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return line.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)

@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
 from test_decontaminate import brute as leaks
 from test_secrets import ASSIGN
 from test_simhash import brute_fingerprint, components
 
+from lodestitch.llm import mixing
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -68,3 +71,16 @@ def test_contamination_is_decided_by_row(spark, tmp_path):
     got = pipeline.drop_contaminated(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {(r.doc_id, r.text) for r in got.collect()} == {(d, t) for d, t, *_ in docs if not t or "leak" not in t}
+
+
+def test_every_row_gets_its_own_share_of_the_mix(spark, tmp_path):
+    rng = random.Random(3)
+    docs = [(rng.choice([None, 1, 2, d]), " ".join(["w"] * rng.randrange(60)), "en", rng.choice(["a", "b", None]), 0) for d in range(300)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    out = pipeline.mix_sources(spark, df, str(tmp_path))
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken"]
+    got = out.collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(docs)
+    assert all(r["size"] == len(r.text.split()) for r in got)
+    key = lambda r: (r.doc_id, r.source, r["size"], r.source_size, r.target, r.taken)
+    assert Counter(map(key, got)) == Counter(map(key, mixing.mix(df).collect()))
