@@ -55,7 +55,9 @@ WORD_GROUPS = (
 _GROUPS = [frozenset(g.split()) for g in WORD_GROUPS]
 _TAGS = ("article", "main", "section", "div", "p", "ul", "li", "table", "td", "nav", "header", "footer", "aside", "form", "h1", "h2", "h3", "blockquote", "pre", "figure", "dialog", "details", "address", "search")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(id|class|role|itemprop|aria-label|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
+#: A whole attribute, so that nothing inside a value or a longer name counts as one.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMED = frozenset("id class role itemprop aria-label".split())
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -140,14 +142,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
                 if stack[i][0] in _SCOPE[name]:
                     break
         words, hidden = frozenset(), False
-        if "=" in m[3] or "hidden" in m[3]:
+        if m[3]:
             found = set()
             for attribute in _ATTRIBUTE.finditer(m[3]):
-                key = (attribute[1] or attribute[5]).lower()
+                key = attribute[1].lower()
                 value = attribute[2] or attribute[3] or attribute[4] or ""
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     hidden = True
-                else:
+                elif key in _NAMED:
                     found.update(_NAME.findall(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower()))
             words = frozenset(found)
         top = stack[-1][1]
@@ -418,7 +420,7 @@ def dropped(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
             continue
         up = node.parent
         evidence[i] = odds[i] + INHERIT * evidence[up] * (nodes[up].tag not in ("#", "html", "body"))
-        gone[i] = gone[up] or node.hidden or (evidence[i] > CUT and node.tag not in ("html", "body"))
+        gone[i] = gone[up] or ((node.hidden or evidence[i] > CUT) and node.tag not in ("html", "body"))
     return gone
 
 

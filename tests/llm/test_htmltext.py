@@ -39,3 +39,15 @@ def test_pages(spark):
     assert got[0] == got[7] == (1, want, len(want))
     assert got[1] == (2, "", 0) and got[2] == (3, "", 0) and got[6] == (6, "", 0)
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_only_a_hidden_attribute_hides():
+    at = PAGE.index("<article>") + len("<article")
+    model = htmltext.trained()
+    want = htmltext.main_text(PAGE, model)
+    for attribute in ('style="overflow:hidden"', "title='hidden gems'", 'data-hidden="true"', 'data-hidden', "style=overflow:hidden", 'aria-hidden="false"', 'data-x="a hidden b"'):
+        assert htmltext.main_text(PAGE[:at] + " " + attribute + PAGE[at:], model) == want
+    for attribute in ("hidden", "HIDDEN", 'id="x" hidden=""', "aria-hidden=true"):
+        assert "caf" not in htmltext.main_text(PAGE[:at] + " " + attribute + PAGE[at:], model)
+    for attribute in ("hidden", 'style="overflow-x:hidden"'):
+        assert htmltext.main_text(PAGE.replace("<body>", f"<body {attribute}>"), model) == want
