@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestitch import cli, schema
 from lodestitch.operators import blocking, evaluate, review, scoring
+from lodestitch.operators import components
 from lodestitch.operators.components import connected_components
 from lodestitch.operators.normalize import normalize
 from lodestitch.operators.resolve import Thresholds, resolve
@@ -105,7 +106,9 @@ def test_resolution(spark):
         decided(spark, [(1, 2, None)])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, components.LOCAL_EDGES])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(1, 300)] + [(500, x) for x in range(501, 560)] + [(600, 601), (601, 602), (602, 600), (700, 700), (None, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", Scratch(spark, "t")).collect()}
     assert {got[i] for i in range(1, 301)} == {1} and {got[i] for i in range(500, 560)} == {500} and {got[i] for i in (600, 601, 602)} == {600} and 700 not in got
