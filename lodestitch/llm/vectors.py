@@ -1,38 +1,55 @@
 """Exact cosine links between embeddings by a subspace pigeonhole join.
 
-Vectors are normalised and rotated by a seeded orthogonal matrix, which spreads their
-variance evenly, and cut into ``blocks`` subspaces.  Two unit vectors of cosine ``c`` or
-more are ``2 - 2 c`` apart at most, squared; by the pigeonhole principle some block of
-theirs is within its proportional share of that budget.  The join therefore looks for
-pairs within budget in each block, and verifies the union of these candidates on the
-whole vectors in double precision.
-
-Rows are held in chunks of ``CHUNK`` vectors that lie close together in the first
-block.  A pair of chunks meets in one task unless their bounding boxes are over budget
-in every block.  Equal vectors are one class with a multiplicity from the start.  What
-leaves a task is bounded by its rows: a count of links for each vector, and a spanning
+Vectors are normalised, rotated by a seeded orthogonal matrix, which spreads their
+variance evenly, put on a grid of integers and cut into ``blocks`` subspaces.  Two unit
+vectors of cosine ``c`` or more are ``2 - 2 c`` apart at most, squared; by the
+pigeonhole principle some block of theirs is within its proportional share of that
+budget (a little more, for what rounding may add).
+
+Each block is joined on its own, in Spark, by ``(block, cell)``: cells are cubes over
+the block's first coordinates whose width is the radius of its share.  A vector lives
+in its own cell and visits those neighbours, of the ones that come after it, that are
+within the radius.  Within a cell, pairs within the block's share are the candidates,
+and those are verified on the whole vectors in double precision.  Distances in a block
+are sums of small integers, so they are the same in every task, and a pair counts in
+the first block that it passes and in no other.
+
+Equal vectors are one class with a multiplicity from the start.  A cell of more than
+``CELL_LIMIT`` points is cut into a grid of chunk pairs, one group each.  What leaves
+a group is bounded by its rows: a count of links for each vector, and a spanning
 forest of the links.
 
-A vector meets the chunks that boxes do not rule out, which for vectors without any
-structure is all of them: the work then grows with the square of the number of chunks,
-though a task's memory, and its output, do not.
+Vectors without any structure lie in a few cells around the middle, as many as there are
+within the radius.  For them cells rule out little, and the work grows faster than the
+rows; a pair then costs a product over one block's coordinates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestitch.llm.base import arrow_ready
 from lodestitch.operators.components import connected_components
 from lodestitch.operators.scratch import Scratch
 
-CHUNK = 4_096
+#: Points that a cell may hold before it is cut into a grid of chunk pairs.
+CELL_LIMIT = 32_768
+#: Points of a cell that one more coordinate of the cubes is meant to split.
+CELL_TARGET = 16_384
+MAX_CUBE = 4
 SEED = 17
+#: Steps of the integer grid for a unit; sums of products stay exact in single precision.
+SCALE = 1_024
+#: Pairs looked at in one product, and pairs verified at once.
+_TILE, _PIECE = (256, 4_096), 1 << 18
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -46,77 +63,126 @@ def cuts(dims: int, blocks: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
+def shares(dims: int, blocks: int, least: float) -> list[int]:
+    """Squared distance on the grid that a block may have: its share of the budget, and what rounding adds."""
+    budget = max(0.0, 2 - 2 * least) + 1e-9
+    radius = lambda d: SCALE * math.sqrt(budget * d / dims) + math.sqrt(d)
+    return [math.ceil(radius(p.stop - p.start) ** 2) for p in cuts(dims, blocks)]
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector links at all: it has components, none null or non-finite, one not zero."""
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce((F.size(vector) > 0) & ~odd & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; no digit is lost."""
+    v = v.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v = _scaled(v)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _chunks(classes: DataFrame, blocks: int) -> DataFrame:
-    """Rows ``(chunk, dims, ids, sizes, vectors, low, high)``."""
+def _rows(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def cells(grid: np.ndarray, blocks: int, least: float, cube: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, block, cell, home) of all cells that the rows of the integer ``grid`` live in or visit."""
+    dims, out = grid.shape[1], []
+    for block, (part, share) in enumerate(zip(cuts(dims, blocks), shares(dims, blocks, least))):
+        x = grid[:, part][:, :cube].astype(np.int64)
+        width = math.isqrt(share) + 1
+        at = x // width
+        steps = [np.zeros_like(x), (at + 1) * width - x, x - at * width + 1]  # to the same cell, the next and the one before
+        for shift in product((0, 1, -1), repeat=x.shape[1]):
+            if shift < (0,) * len(shift):
+                continue  # the neighbour that comes before sends its points here
+            gap = sum(steps[s][:, i] ** 2 for i, s in enumerate(shift))
+            rows = np.flatnonzero(gap <= share)
+            cell = np.zeros(len(rows), np.int64)
+            for i, s in enumerate(shift):
+                cell = (cell << 14) + at[rows, i] + s + (1 << 13)
+            out.append((rows, np.full(len(rows), block), cell, np.full(len(rows), not any(shift))))
+    rows, block, cell, home = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], block[order], cell[order], home[order]
+
+
+def _placed(classes: DataFrame, blocks: int, least: float, cube: int) -> DataFrame:
+    """``classes`` with the integer grid of their vectors, ``q``, and all their cells, ``meets``."""
+    kind = classes.schema["v"].dataType.simpleString()
+    meets = pa.struct([("block", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for dims in np.unique(widths).tolist():
+                part = batch.filter(pa.array(widths == dims))
+                grid = np.rint(_unit(_rows(part.column(2), dims)) @ rotation(dims) * SCALE).astype(np.int16)
+                rows, block, cell, home = cells(grid, blocks, least, cube)
+                ends = np.searchsorted(rows, np.arange(len(grid) + 1)).astype(np.int32)
+                found = pa.StructArray.from_arrays([pa.array(block.astype(np.int32)), pa.array(cell), pa.array(home)], fields=list(meets))
+                q = pa.ListArray.from_arrays(np.arange(len(grid) + 1, dtype=np.int32) * np.int32(dims), pa.array(grid.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(grid), dims, np.int32)), q, pa.ListArray.from_arrays(ends, found)], names=["rep", "size", "v", "dims", "q", "meets"])
+
+    schema = f"rep long, size long, v {kind}, dims int, q array<short>, meets array<struct<block:int,cell:long,home:boolean>>"
+    return arrow_ready(classes.select("rep", "size", "v")).mapInArrow(place, schema)
+
+
+def _near(x: np.ndarray, y: np.ndarray, share: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of two sets of grid points within ``share`` (``a < b`` within one set)."""
+    x, y = x.astype(np.float32), y.astype(np.float32)
+    half = lambda a: (a * a).sum(axis=1, keepdims=True) / 2
+    ones = lambda a: np.ones((len(a), 1), np.float32)
+    # -|a - b|^2 / 2 as one product
+    left, right = np.hstack([x, -half(x), ones(x)]), np.hstack([y, ones(y), -half(y)]).T
+    for top, first in product(range(0, len(x), _TILE[0]), range(0, len(y), _TILE[1])):
+        if same and first + _TILE[1] <= top:
+            continue
+        tile = left[top : top + _TILE[0]] @ right[:, first : first + _TILE[1]]
+        some = np.flatnonzero(tile.max(axis=1) >= -share / 2)
+        i, j = np.nonzero(tile[some] >= -share / 2)
+        i, j = some[i] + top, j + first
+        if same:
+            keep = i < j
+            i, j = i[keep], j[keep]
+        for at in range(0, len(i), _PIECE):
+            yield i[at : at + _PIECE], j[at : at + _PIECE]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
 
-        def flush(dims: int) -> pa.RecordBatch:
-            ids, sizes, rows = (np.concatenate([h[i] for h in held[dims]]) for i in range(3))
-            turned = _unit(rows) @ rotation(dims)
-            out = [np.array(x).tobytes() for x in (ids, sizes, rows, turned.min(axis=0), turned.max(axis=0))]
-            return pa.RecordBatch.from_arrays([pa.array([int(ids.min())], pa.int64()), pa.array([dims], pa.int32()), *[pa.array([x], pa.binary()) for x in out]], names=["chunk", "dims", "ids", "sizes", "vectors", "low", "high"])
+def cell_links(whole: np.ndarray, grid: np.ndarray, home: np.ndarray, side: np.ndarray | None, block: int, least: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the linked pairs that a cell has to count for ``block``.
 
-        for batch in batches:
-            width = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for dims in np.unique(width).tolist():
-                part = batch.filter(pa.array(width == dims))
-                rows = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                ids, sizes = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                for at in range(0, len(ids), CHUNK):
-                    piece = (ids[at : at + CHUNK], sizes[at : at + CHUNK], rows[at : at + CHUNK])
-                    if sum(len(h[0]) for h in held.get(dims, ())) + len(piece[0]) > CHUNK:
-                        yield flush(dims)
-                        held[dims] = []
-                    held.setdefault(dims, []).append(piece)
-        for dims in held:
-            if held[dims]:
-                yield flush(dims)
-
-    return arrow_ready(classes.select("rep", "size", "v")).mapInArrow(pack, "chunk long, dims int, ids binary, sizes binary, vectors binary, low binary, high binary")
-
-
-def _near_boxes(low: np.ndarray, high: np.ndarray, a: int, b: int, parts: list[slice], budget: float) -> bool:
-    gap = np.maximum(0, np.maximum(low[a] - high[b], low[b] - high[a])) ** 2
-    return any(gap[p].sum() <= budget * (p.stop - p.start) / low.shape[1] + 1e-9 for p in parts)
-
-
-def chunk_links(x: np.ndarray, y: np.ndarray, same: bool, least: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of linked pairs between two sets of vectors (``a < b`` within one set)."""
-    dims = x.shape[1]
-    ux, uy, turn = _unit(x), _unit(y), rotation(dims)
-    rx, ry = (ux @ turn).astype(np.float32), (uy @ turn).astype(np.float32)
-    budget = 2 - 2 * least
+    Pairs have a home point.  With ``side`` they lie across the two chunks it tells apart.
+    """
+    dims = grid.shape[1]
+    parts, share = cuts(dims, blocks), shares(dims, blocks, least)
+    square = np.einsum("ij,ij->i", whole, whole)
+    mine = grid[:, parts[block]]
+    lives, visits = np.flatnonzero(home), np.flatnonzero(~home)
+    if side is None:
+        sets = [(lives, lives, True), (visits, lives, False)]
+    else:
+        a, b = side[lives], side[visits]
+        sets = [(lives[~a], lives[a], False), (lives[~a], visits[b], False), (visits[~b], lives[a], False)]
     found = []
-    for start in range(0, len(x), 512):
-        block = rx[start : start + 512]
-        near = np.zeros((len(block), len(y)), bool)
-        for p in cuts(dims, blocks):
-            a, b = block[:, p], ry[:, p]
-            # |a - b|^2 <= share, written as a.b >= (|a|^2 + |b|^2 - share) / 2
-            share = budget * (p.stop - p.start) / dims + 1e-4
-            bar = ((a * a).sum(axis=1)[:, None] - share) / 2
-            near |= a @ b.T >= bar + (b * b).sum(axis=1)[None, :] / 2
-        i, j = np.nonzero(near)
-        i += start
-        if same:
-            i, j = i[i < j], j[i < j]
-        for at in range(0, len(i), 1 << 18):
-            a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            ok = np.einsum("ij,ij->i", ux[a], uy[b]) >= least
-            found.append((a[ok], b[ok]))
+    for xs, ys, same in sets:
+        if not len(xs) or not len(ys):
+            continue
+        for i, j in _near(mine[xs], mine[ys], share[block], same):
+            i, j = xs[i], ys[j]
+            ok = np.einsum("ij,ij->i", whole[i], whole[j]) / np.sqrt(square[i] * square[j]) >= least
+            i, j = i[ok], j[ok]
+            for p, s in zip(parts[:block], share[:block]):
+                gap = grid[i, p].astype(np.int64) - grid[j, p]
+                later = (gap * gap).sum(axis=1) > s
+                i, j = i[later], j[later]
+            found.append((i, j))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -136,7 +202,36 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, blocks: int = 8) -> DataFrame:
+def _links(classes: DataFrame, n: int, store: Scratch, least: float, blocks: int) -> DataFrame:
+    """``(rep, root, links)``: counts of links that add up, and edges that span them."""
+    cube = min(MAX_CUBE, max(1, math.ceil(math.log(max(1, n / CELL_TARGET), 3))))
+    placed = store.write(_placed(classes, blocks, least, cube))
+    keys = ["dims", "block", "cell"]
+    points = placed.select("dims", F.explode("meets").alias("m")).groupBy("dims", "m.block", "m.cell").agg(F.count(F.lit(1)).alias("points"))
+    # At most one row for each CELL_LIMIT points; Spark broadcasts it if it is small.
+    heavy = store.write(points.where(F.col("points") > CELL_LIMIT).select(*keys, F.ceil(F.col("points") / F.lit(CELL_LIMIT // 2)).cast("int").alias("cuts")), 1)
+    met = placed.select("rep", "size", "v", "dims", "q", F.explode("meets").alias("m")).select("rep", "size", "v", "dims", "q", "m.*")
+    met = met.join(heavy, keys, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    met = met.withColumn("meet", F.explode(meets)).select("rep", "size", "v", "q", "home", "own", *keys, "meet.i", "meet.j")
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        dims, block, _, i, j = (k.as_py() for k in key)
+        group = group.combine_chunks()
+        flat = lambda name, kind: group[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(kind)
+        ids, sizes, home = (group[c].to_numpy() for c in ("rep", "size", "home"))
+        side = None if i == j else group["own"].to_numpy() == j
+        a, b = cell_links(_scaled(flat("v", np.float64)), flat("q", np.int16), home, side, block, least, blocks)
+        degree = np.bincount(a, sizes[b], len(ids)) + np.bincount(b, sizes[a], len(ids))
+        root = _forest(len(ids), a, b)
+        hit = np.flatnonzero(degree > 0)
+        return pa.table({"rep": pa.array(ids[hit], pa.int64()), "root": pa.array(ids[root[hit]], pa.int64()), "links": pa.array(degree[hit].astype(np.int64))})
+
+    return store.write(met.groupBy(*keys, "i", "j").applyInArrow(meet, "rep long, root long, links long"))
+
+
+def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, blocks: int = 4) -> DataFrame:
     """Links between vectors of cosine ``least`` or more, and their components.
 
     Returns ``(vec_id, n_links, component_id, kept)`` per input row: links count other
@@ -148,55 +243,26 @@ def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     * Repeated rows are vectors of their own: equal vectors link with each other.
     * A row with a null id counts as a link of others.  It never names a component, but
       gets the component of its equals or neighbours; alone it has a null one.
-    * An empty table gives an empty result.
+    * Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
     store = Scratch(embeddings.sparkSession, "vectors")
-    vector = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    single = embeddings.schema[vector_col].dataType == T.ArrayType(T.FloatType())
+    kind = "float" if single else "double"  # components of single precision travel as such, and are doubles wherever they are compared
+    vector = F.transform(F.col(vector_col).cast(f"array<{kind}>"), lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).withColumn("ok", usable(F.col("v")))
     # Equal vectors are grouped by two hashes: 128 bits.
     rows = rows.withColumn("k", F.when(F.col("ok"), F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v", F.size("v")).alias("b"))))
     classes = rows.where("ok").groupBy("k").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"))
-    # A class is known by its hash, never by an id, which rows may share.
-    classes = store.write(classes.select(F.xxhash64("k.a", "k.b").alias("rep"), "k", "least", "size", "v"))
+    # A class is known by a number given when it is written, never by an id, which rows may share.
+    classes = store.write(classes.select(F.monotonically_increasing_id().alias("rep"), "k", "least", "size", "v"))
     n = classes.count()
-    if n:
-        first = F.transform(F.slice("v", 1, 1), lambda x: F.round(x * 4)).getItem(0)
-        packed = store.write(_chunks(classes.repartitionByRange(max(1, -(-n // CHUNK)), first, "rep"), blocks))
-        # Only the boxes of chunks reach the driver, some hundred bytes for 4,096 vectors.
-        boxes = packed.select("chunk", "dims", "low", "high").collect()
-        pairs = []
-        for dims in sorted({b.dims for b in boxes}):
-            own = [b for b in boxes if b.dims == dims]
-            low, high = (np.stack([np.frombuffer(b[k]) for b in own]) for k in ("low", "high"))
-            parts = cuts(dims, blocks)
-            pairs += [(own[i].chunk, own[j].chunk) for i in range(len(own)) for j in range(i, len(own)) if _near_boxes(low, high, i, j, parts, 2 - 2 * least)]
-        plan = embeddings.sparkSession.createDataFrame([(p, a) for p, (a, _) in enumerate(pairs)] + [(p, b) for p, (a, b) in enumerate(pairs) if a != b], "pair long, chunk long")
-
-        def meet(group: pa.Table) -> pa.Table:
-            sides = []
-            for i in range(group.num_rows):
-                dims = group["dims"][i].as_py()
-                sides.append((np.frombuffer(group["ids"][i].as_py(), np.int64), np.frombuffer(group["sizes"][i].as_py(), np.int64), np.frombuffer(group["vectors"][i].as_py()).reshape(-1, dims)))
-            x, y = sides[0], sides[-1]
-            same = len(sides) == 1
-            a, b = chunk_links(x[2], y[2], same, least, blocks)
-            shift = 0 if same else len(x[0])
-            ids = x[0] if same else np.concatenate([x[0], y[0]])
-            sizes = x[1] if same else np.concatenate([x[1], y[1]])
-            b = b + shift
-            degree = np.bincount(a, sizes[b], len(ids)) + np.bincount(b, sizes[a], len(ids))
-            root = _forest(len(ids), a, b)
-            hit = np.flatnonzero(degree > 0)
-            return pa.table({"rep": pa.array(ids[hit], pa.int64()), "root": pa.array(ids[root[hit]], pa.int64()), "links": pa.array(degree[hit].astype(np.int64))})
-
-        found = store.write(packed.select("chunk", "dims", "ids", "sizes", "vectors").join(plan, "chunk").groupBy("pair").applyInArrow(meet, "rep long, root long, links long"))
-    else:
-        found = embeddings.sparkSession.createDataFrame([], "rep long, root long, links long")
+    found = _links(classes, n, store, least, blocks) if n else embeddings.sparkSession.createDataFrame([], "rep long, root long, links long")
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "rep", "root", store)
     labels = classes.join(degrees, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     names = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = labels.join(names, "component").select("k", "n_links", "component_id")
+    # Written, so that a join on a very common vector meets a plain table and Spark can split it.
+    labels = store.write(labels.join(names, "component").select("k", "n_links", "component_id"))
     out = rows.select("vec_id", "k").join(labels, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -9,7 +9,7 @@ def brute(rows, least=0.9):
     good = {}
     for i, (_, v) in enumerate(rows):
         if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = np.array(v) / np.linalg.norm(v)
+            good[i] = np.array(v)
     parent = list(range(len(rows)))
 
     def root(x):
@@ -20,7 +20,7 @@ def brute(rows, least=0.9):
     links = [0] * len(rows)
     for i in good:
         for j in good:
-            if i < j and len(good[i]) == len(good[j]) and good[i] @ good[j] >= least:
+            if i < j and len(good[i]) == len(good[j]) and good[i] @ good[j] / np.sqrt((good[i] @ good[i]) * (good[j] @ good[j])) >= least:
                 links[i] += 1
                 links[j] += 1
                 parent[root(i)] = root(j)
@@ -37,7 +37,8 @@ def run(spark, rows, **more):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CHUNK", 64)
+    monkeypatch.setattr(vectors, "CELL_LIMIT", 128)
+    monkeypatch.setattr(vectors, "CELL_TARGET", 30)
     rng = np.random.default_rng(8)
     rows = []
     for d in range(500):
@@ -49,7 +50,8 @@ def test_against_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert sum(r[1] for r in want) > 300
     assert run(spark, rows) == want
-    assert run(spark, rows, blocks=4) == want
+    for blocks in (1, 8):
+        assert run(spark, rows, blocks=blocks) == want
 
 
 def test_edges(spark):
@@ -57,3 +59,25 @@ def test_edges(spark):
     want = brute([(d, [x * 1e200 for x in v] if d == 10 else v) for d, v in rows])
     assert run(spark, rows) == want
     assert run(spark, []) == []
+
+
+def test_threshold_and_extra_columns(spark):
+    # cosines of exactly 0.9 in double precision, and next to it
+    rows = [(1, [1.0, 0.0]), (2, [0.9, float(np.sqrt(1 - 0.81))]), (3, [0.8, -0.6]), (4, [4.0, 0.0])]
+    assert run(spark, rows) == brute(rows)
+    cosine = brute(rows, 0.8)
+    assert run(spark, rows, least=0.8) == cosine and cosine != brute(rows)
+    names = "vec_id long, embedding array<float>, rep long, k string, v int, size int, q int, meets int"
+    got = vectors.link(spark.createDataFrame([(i, v, 1, "x", 2, 3, 4, 5) for i, v in rows], names))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert sorted((r.vec_id, r.n_links) for r in got.collect()) == [(1, 1), (2, 0), (3, 0), (4, 1)]  # 0.9 is less in single precision
+
+
+def test_dense_group_counts_every_link_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_LIMIT", 64)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 1, 24)
+    rows = [(d, (centre + rng.normal(0, 0.2, 24)).tolist()) for d in range(400)]
+    want = brute(rows)
+    assert sum(r[1] for r in want) > 50_000
+    assert run(spark, rows) == want
