@@ -40,7 +40,7 @@ def test_fingerprint_matches_definition():
     assert simhash.fingerprint(None) == 0
 
 
-def test_links_against_brute_force(spark):
+def test_links_against_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     prints = {}
     for d in range(600):
@@ -48,19 +48,36 @@ def test_links_against_brute_force(spark):
         for _ in range(rng.randrange(0, 6)):
             base ^= 1 << rng.randrange(64)
         prints[d] = base
-    store = simhash.Scratch(spark, "t")
-    signed = [(int(np.uint64(v).astype(np.int64)), d) for d, v in prints.items()]
-    classes = spark.createDataFrame(signed, "fp long, d long").groupBy("fp").agg(simhash.F.min("d").alias("rep"))
-    for radius, blocks, limit in ((4, 4, 16_384), (4, 5, 16_384), (3, 4, 16_384), (4, 4, 40)):
-        before, simhash.SHARD_LIMIT = simhash.SHARD_LIMIT, limit
-        try:
-            edges = simhash.link(classes, store, radius, blocks)
-            found = {r.node: r.component for r in simhash.connected_components(edges, "a", "b", store).collect()}
-        finally:
-            simhash.SHARD_LIMIT = before
+    rows = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in prints.values()], "fp long").distinct().cache()
+    for radius, blocks, limit in ((4, 3, 6_144), (4, 5, 6_144), (3, 2, 6_144), (0, 1, 6_144), (4, 3, 40)):
+        monkeypatch.setattr(simhash, "LEAF_LIMIT", limit)
+        monkeypatch.setattr(simhash, "LEAF_POINTS", 30)
+        found = {r.fp: r.component for r in simhash.groups(rows, simhash.Scratch(spark, "t"), radius, blocks).collect()}
         want = components(prints, radius)
-        rep = {f: min(d for d, v in prints.items() if v == f) for f in prints.values()}
-        assert {d: found.get(rep[prints[d]], rep[prints[d]]) for d in prints} == want
+        signed = {d: int(np.uint64(v).astype(np.int64)) for d, v in prints.items()}
+        least = {}
+        for d in prints:
+            least[want[d]] = min(least.get(want[d], signed[d]), signed[d])
+        assert {d: found[signed[d]] for d in prints} == {d: least[want[d]] for d in prints}
+
+
+def test_trees_part_the_points_and_lose_no_pair():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    fp[1500:] = fp[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    fp[:40] = fp[0]
+    mask = (1 << 24) - 1
+    for budget in (0, 1, 2):
+        tree = simhash.grow(fp[::4], mask, budget, 8)
+        point, leaf, home = tree.places(fp)
+        assert np.array_equal(np.sort(point[home]), np.arange(len(fp))) and (tree.radius[leaf] == -1).all()
+        assert len(set(leaf.tolist())) > 60 and len(point) < (1, 4, 15)[budget] * len(fp) + 1
+        lives = dict(zip(point[home].tolist(), leaf[home].tolist()))
+        seen = set(zip(point.tolist(), leaf.tolist()))
+        away = np.bitwise_count((fp[:, None] ^ fp[None, :]) & np.uint64(mask))
+        for a, b in zip(*np.nonzero(away <= budget)):
+            assert (a, lives[b]) in seen or (b, lives[a]) in seen
+    assert len(simhash.grow(np.zeros(50, np.uint64), mask, 1, 8).radius) == 1 == len(simhash.grow(fp[:0], mask, 1, 8).radius)
 
 
 def test_near_duplicates_edges(spark):
@@ -68,3 +85,5 @@ def test_near_duplicates_edges(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 8), (8, 8), (None, 3), (5, 3), (7, 7)], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 2, 3, "x", "y", None)], "doc_id long, text string, key int, fp int, component string, tree string, least long")
+    assert simhash.near_duplicates(clash).collect()[0].component_id == 1
