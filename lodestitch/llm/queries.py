@@ -116,9 +116,11 @@ l AS (SELECT a.vec_id AS u, b.vec_id AS o FROM ok a JOIN ok b ON a.vec_id <> b.v
 reach AS (SELECT vec_id AS u, vec_id AS o FROM e UNION SELECT r.u, l.o FROM reach r JOIN l ON l.u = r.o),
 c AS (SELECT u, min(o) AS component_id FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id""",
-    "op8_substring_dedup": f"""WITH d AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents),
-win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(list_slice(w, i, i + 19), ' ')))) AS h FROM d WHERE len(w) >= 20),
-later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS r FROM win) WHERE r > 1),
-gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(pos, pos + 20)) AS p FROM later) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed, sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE (SELECT coalesce(string_agg(x, ' ' ORDER BY i), '') FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) WHERE NOT list_contains(g, i)) END) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id)""",
+    # Rows of one id and text are one document; texts that share an id come in the order of a hash, here another one than the operator's.
+    "op8_substring_dedup": f"""WITH d AS (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS LAST, md5(t)) AS k FROM (SELECT doc_id, coalesce(text, '') AS t, {_SPLIT.format("text")} AS w FROM documents)),
+once AS (SELECT k, any_value(w) AS w FROM d GROUP BY k),
+win AS (SELECT k, unnest(range(1, len(w) - 18)) AS pos, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(list_slice(w, i, i + 19), ' ')))) AS h FROM once WHERE len(w) >= 20),
+later AS (SELECT k, pos FROM (SELECT k, pos, row_number() OVER (PARTITION BY h ORDER BY k, pos) AS r FROM win) WHERE r > 1),
+gone AS (SELECT k, list(DISTINCT p) AS g FROM (SELECT k, unnest(range(pos, pos + 20)) AS p FROM later) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed, sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE (SELECT coalesce(string_agg(x, ' ' ORDER BY i), '') FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) WHERE NOT list_contains(g, i)) END) AS kept_sha256 FROM d LEFT JOIN gone USING (k)""",
 }

@@ -12,12 +12,15 @@ an earlier occurrence exists; nothing survives for another level.
 
 Before any exchange a task settles what it can among its own rows: of many equal
 keys it ships the earliest only and marks the rest as settled.  A passage that a
-third of all documents share thus sends one row per task to its reducer.  The job is
-one lazy plan without tables on the side, and the shuffle of the texts by document
-serves both joins that need them.
+third of all documents share thus sends one row per task to its reducer.  The shuffle
+of the texts by document serves both joins that need them.
+
+A document is known by its id ``d`` and a number ``h`` that is zero where the id has one
+text only, and the text's 64-bit hash where several texts share the id, as all those
+without one do.  What is found in a text therefore never touches another.
 
 Hashes: an anchor is 64 bits, and runs and windows are told apart by their own 64
-bits together with those of the anchor.
+bits together with those of the anchor.  Words are remembered up to a number of bytes.
 """
 
 from __future__ import annotations
@@ -33,17 +36,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestitch.llm.base import arrow_ready, raw_texts, slices
+from lodestitch.operators.scratch import Scratch
 
 #: Text that a task gathers before it settles equal keys among its rows.
 BLOCK_BYTES = 48 << 20
-_CACHE_WORDS = 1_000_000
+#: Bytes of words that a task remembers the hashes of, and bytes that a word counts for besides its own.
+CACHE_BYTES, _WORD_BYTES = 64 << 20, 120
 _NULL_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _WordHashes(dict):
+    room = CACHE_BYTES
+
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        self.room -= len(word) + _WORD_BYTES
+        if self.room < 0:
+            self.clear()
+            self.room = CACHE_BYTES - len(word) - _WORD_BYTES
+        if self.room > 0:
+            self[word] = value
         return value
 
 
@@ -77,10 +90,10 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 def _joined(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with neighbouring ones of a document made one."""
-    order = np.lexsort((start, doc))
+    order = np.lexsort((start, doc[:, 1], doc[:, 0]))
     doc, start, end = doc[order], start[order], (start + count)[order]
     head = np.ones(len(doc), bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    head[1:] = (doc[1:] != doc[:-1]).any(axis=1) | (start[1:] > end[:-1])
     at = np.flatnonzero(head)
     last = np.append(at[1:], len(doc)) - 1 if len(at) else at
     return doc[at], start[at], end[last] - start[at]
@@ -96,8 +109,6 @@ class _Hasher:
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """(text index, start, count, anchor) of each run, the hashes of all windows, where
         each run's begin, and whether a run may hold one window twice."""
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
         get, parts, counts = self.cache.__getitem__, [], []
         for text in texts:
             words = text.split()
@@ -137,7 +148,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _settle(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that are the earliest of their key here, and those that come after another row."""
-    order = np.lexsort((start, doc, *keys))
+    order = np.lexsort((start, doc[:, 1], doc[:, 0], *keys))
     new = np.ones(len(order), bool)
     same = np.ones(max(len(order) - 1, 0), bool)
     for k in keys:
@@ -145,23 +156,29 @@ def _settle(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
     new[1:] = ~same
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     d, s = doc[order], start[order]
-    later = (d != d[head]) | (s != s[head])
+    later = (d != d[head]).any(axis=1) | (s != s[head])
     return order[new], order[later]
 
 
 def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A key of its own for each settled row, so that no reducer gets many of them."""
-    return _signed(_mix(doc.astype(np.uint64) * _B + start.astype(np.uint64)))
+    d = doc.view(np.uint64)
+    return _signed(_mix(_mix(d[:, 0] + d[:, 1] * _A) * _B + start.astype(np.uint64)))
+
+
+def _documents(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    """Rows ``(d, h)`` of two columns of a batch."""
+    return np.column_stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(2)])
 
 
 def _columns(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[pa.Array]:
-    return [pa.array(k1), pa.array(k2), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))]
+    return [pa.array(k1), pa.array(k2), pa.array(doc[:, 0]), pa.array(doc[:, 1]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))]
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
-    """``(d, spans)`` per document that loses words: packed ``start << 32 | count`` runs of windows.
+    """``(d, h, spans)`` per document that loses words: packed ``start << 32 | count`` runs of windows.
 
-    ``docs`` has ``d`` (long, never null) and ``text``.
+    ``docs`` has ``d`` and ``h`` (long, never null) and ``text``.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +194,10 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             known[order[1:]] |= again[1:]
             known[order[:-1]] |= again[1:]
             key = np.where(first, _signed(key), _spread(doc, start))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(known)], names=["k", "d", "s", "known"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[:, 0]), pa.array(doc[:, 1]), pa.array(start.astype(np.int32)), pa.array(known)], names=["k", "d", "h", "s", "known"])
 
         for batch in batches:
-            texts, ids = raw_texts(batch, 1), batch.column(0).to_numpy(zero_copy_only=False)
+            texts, ids = raw_texts(batch, 2), _documents(batch, 0)
             for a, b in slices(texts):
                 of, start, _, anchor, _, _, loops = hasher.runs([t or b"" for t in texts[a:b]])
                 held.append((anchor, ids[a:b][of], start, loops))
@@ -193,7 +210,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = _Hasher(window), [], 0
-        names = ["k1", "k2", "d", "s", "n", "windows", "known"]
+        names = ["k1", "k2", "d", "h", "s", "n", "windows", "known"]
 
         def flush() -> Iterator[pa.RecordBatch]:
             span, anchor, doc, start, count = (np.concatenate([h[i] for h in held]) for i in range(5))
@@ -204,7 +221,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*_columns(_spread(d, s), np.zeros(len(d), np.int64), d, s, n), pa.array([b""] * len(d), pa.binary()), pa.array(np.ones(len(d), bool))], names=names)
 
         for batch in batches:
-            texts, ids, chosen = raw_texts(batch, 1), batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            texts, ids, chosen = raw_texts(batch, 2), _documents(batch, 0), batch.column(3)
             for a, b in slices(texts):
                 of, start, count, anchor, full, heads, _ = hasher.runs([t or b"" for t in texts[a:b]])
                 part = chosen.slice(a, b - a)
@@ -234,20 +251,21 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             yield emit(_spread(d, s), np.zeros(len(d), np.int64), d, s, n, True)
 
         def emit(k1, k2, doc, start, count, known: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*_columns(k1, k2, doc, start, count), pa.array(np.full(len(doc), known))], names=["k1", "k2", "d", "s", "n", "known"])
+            return pa.RecordBatch.from_arrays([*_columns(k1, k2, doc, start, count), pa.array(np.full(len(doc), known))], names=["k1", "k2", "d", "h", "s", "n", "known"])
 
         for batch in batches:
-            k2, doc, start, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            gone = batch.column(5).to_numpy(zero_copy_only=False)
+            doc = _documents(batch, 1)
+            k2, start, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4))
+            gone = batch.column(6).to_numpy(zero_copy_only=False)
             if gone.any():
                 d, s, n = _joined(doc[gone], start[gone], count[gone])
                 yield emit(_spread(d, s), np.zeros(len(d), np.int64), d, s, n, True)
             stay = np.flatnonzero(~gone)
             if len(stay):
-                hashes = np.frombuffer(b"".join(batch.column(4).take(pa.array(stay)).to_pylist()), "<u8")
+                hashes = np.frombuffer(b"".join(batch.column(5).take(pa.array(stay)).to_pylist()), "<u8")
                 n = count[stay]
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                held.append((hashes, np.repeat(k2[stay].view(np.uint64), n), np.repeat(doc[stay], n), np.repeat(start[stay], n) + place))
+                held.append((hashes, np.repeat(k2[stay].view(np.uint64), n), np.repeat(doc[stay], n, axis=0), np.repeat(start[stay], n) + place))
                 size += 32 * len(hashes)
             if size >= BLOCK_BYTES:
                 yield from flush()
@@ -255,15 +273,26 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         if held:
             yield from flush()
 
-    found = docs.mapInArrow(anchors, "k long, d long, s int, known boolean")
+    found = docs.select("d", "h", "text").mapInArrow(anchors, "k long, d long, h long, s int, known boolean")
     repeated = found.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("known or c > 1")
-    starts = repeated.groupBy("d").agg(F.collect_list(F.col("s").cast("long")).alias("starts"))
-    runs = docs.join(starts, "d").select("d", "text", "starts").mapInArrow(extend, "k1 long, k2 long, d long, s int, n int, windows binary, known boolean")
-    order = Window.partitionBy("k1", "k2").orderBy("d", "s")
-    judged = runs.withColumn("gone", F.col("known") | (F.rank().over(order) > 1)).select("k2", "d", "s", "n", "windows", "gone")
-    single = judged.mapInArrow(unfold, "k1 long, k2 long, d long, s int, n int, known boolean")
+    starts = repeated.groupBy("d", "h").agg(F.collect_list(F.col("s").cast("long")).alias("starts"))
+    runs = docs.join(starts, ["d", "h"]).select("d", "h", "text", "starts").mapInArrow(extend, "k1 long, k2 long, d long, h long, s int, n int, windows binary, known boolean")
+    order = Window.partitionBy("k1", "k2").orderBy("d", "h", "s")
+    judged = runs.withColumn("gone", F.col("known") | (F.rank().over(order) > 1)).select("k2", "d", "h", "s", "n", "windows", "gone")
+    single = judged.mapInArrow(unfold, "k1 long, k2 long, d long, h long, s int, n int, known boolean")
     removed = single.withColumn("gone", F.col("known") | (F.rank().over(order) > 1)).where("gone")
-    return removed.groupBy("d").agg(F.collect_list(F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("spans"))
+    return removed.groupBy("d", "h").agg(F.collect_list(F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("spans"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, d, h, text)`` per row of ``docs``."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = base.withColumn("d", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    # Ids with several texts: written, so that Spark knows whether they are few enough to broadcast.
+    several = base.groupBy("d").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("d", F.lit(True).alias("several"))
+    several = Scratch(docs.sparkSession, "substring").write(several)
+    return base.join(several, "d", "left").select("doc_id", "d", F.when(F.col("several"), mark).otherwise(F.lit(0).cast("long")).alias("h"), "text")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = True) -> DataFrame:
@@ -275,13 +304,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and the kept words joined by single spaces as ``text`` if ``with_text``.
 
     * A null text has no words; a text shorter than a window loses none.
-    * Rows that share a doc_id (null counts as one id, after all others) are read as
-      one document: a place in it loses its word if the rules remove it in any of the
-      rows.  Plain repetitions of a row therefore change nothing.
+    * Rows with the same doc_id and text are one document, so plain repetitions of a row
+      change nothing.  Rows with the same doc_id and different texts are documents of
+      their own, in the order of a hash of their texts; so are the rows without an id,
+      which come after all others.
     * Of equal windows the first in order stays; an empty table gives an empty result.
+    * Other columns are ignored, whatever their names.
     """
-    base = arrow_ready(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    base = base.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("d"), "text")
+    base = arrow_ready(_keyed(docs, id_col, text_col))
     spans = repeated_spans(base, window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +332,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone.append(int(lost.sum()))
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode() if with_text else None)
-            ids = batch.column(0).to_pylist()
-            columns = [pa.array([None if i == _NULL_ID else i for i in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
+            columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept_text, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return base.join(spans, "d", "left").select("d", "text", "spans").mapInArrow(finish, schema)
+    return base.join(spans, ["d", "h"], "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)

@@ -66,8 +66,34 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(df).collect()) == [(3, 0), (3, 0), (9, 25)]
 
 
+def test_texts_that_share_an_id_keep_what_is_theirs(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(25)) for x in "abc")
+    for shared in (None, 7):
+        rows = [(1, a), (shared, a), (shared, b), (shared, c + " " + a), (shared, ""), (shared, None), (2, "x")]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in substring.remove_repeats(df).collect())
+        want = [(1, 25, 0, a), (shared or 0, 25, 25, ""), (shared or 0, 25, 0, b), (shared or 0, 50, 25, c), (shared or 0, 0, 0, ""), (shared or 0, 0, 0, ""), (2, 1, 0, "x")]
+        assert got == sorted(want)
+    df = spark.createDataFrame([(None, a), (5, b + " " + b), (None, b + " y"), (5, a), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect())
+    assert got == [(0, 25, 25), (0, 25, 25), (0, 26, 25), (5, 25, 0), (5, 50, 25)]
+    # the largest id is not mixed up with a missing one
+    top = (1 << 63) - 1
+    df = spark.createDataFrame([(top, a), (None, b)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed, r.text) for r in substring.remove_repeats(df).collect()} == {(top, 0, a), (None, 0, b)}
+
+
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(substring, "CACHE_BYTES", 1000)
+    cache = substring._WordHashes()
+    cache.room = 1000
+    for word in [b"a" * 5000, b"b", b"c" * 300, b"d" * 400, b"b"] * 3:
+        assert cache[word] == substring.xxhash.xxh64_intdigest(word)
+        assert sum(map(len, cache)) <= 1000
+
+
 def test_empty_and_extra_columns(spark):
-    df = spark.createDataFrame([], "doc_id long, text string, d string, spans string, k long")
+    df = spark.createDataFrame([], "doc_id long, text string, d string, spans string, k long, h int, several int")
     assert substring.remove_repeats(df).count() == 0
-    df = spark.createDataFrame([(1, "a b", "x", "y", 3)], "doc_id long, text string, d string, spans string, k long")
+    df = spark.createDataFrame([(1, "a b", "x", "y", 3, 4, 5)], "doc_id long, text string, d string, spans string, k long, h int, several int")
     assert substring.remove_repeats(df).collect()[0].text == "a b"
