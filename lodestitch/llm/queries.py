@@ -92,9 +92,9 @@ def _op1_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, source, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
 every AS MATERIALIZED ({spans}),
 ok AS MATERIALIZED (SELECT every.*, source FROM every JOIN d USING (row) WHERE kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM every b WHERE b.row = every.row AND b.kind < 3 AND b.s < every.e AND every.s < b.e))),
-own AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM ok GROUP BY v),
-j AS (SELECT ok.*, owners FROM ok JOIN own USING (v) WHERE kind < 3 OR owners <= 1),
-g AS (SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, string_agg({label}, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg({label}, ',' ORDER BY s, kind) AS spans, count(*) FILTER (owners <= 1) AS n_live, count(*) FILTER (owners > 1) AS n_copied FROM j GROUP BY row)
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) <= {secrets.MAX_LIVE_OWNERS} AND count(DISTINCT concat(coalesce(source, chr(1)), chr(2), coalesce(CAST(doc_id AS VARCHAR), chr(1)))) <= {secrets.MAX_LIVE_REPOS} AS live FROM ok GROUP BY v),
+j AS (SELECT ok.*, live FROM ok JOIN own USING (v) WHERE kind < 3 OR live),
+g AS (SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, string_agg({label}, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg({label}, ',' ORDER BY s, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j GROUP BY row)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g USING (row)"""
 
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestitch.llm.base import arrow_ready
 
@@ -415,6 +416,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     names = ["doc_id", "score", "worst", *[f"keep_{i}" for i in range(len(keep))]]
-    schema = "doc_id long, score double, worst string" + "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("worst", T.StringType()), *[T.StructField(f"keep_{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]])
     out = arrow_ready(base).mapInArrow(rows, schema)
     return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)}) if keep else out

@@ -51,16 +51,37 @@ def test_stages(spark, tmp_path):
     assert all(r.n_chars == len(r.text) and r["size"] == len(r.text.split()) and 0 <= r.taken <= 3 * r["size"] for r in got.values())
 
 
-def test_empty_and_nulls(spark, tmp_path):
-    docs = [(None, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0)]
-    for name, rows, schema in (("documents", docs, SCHEMA + ", k long, _turn int"), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
-        spark.createDataFrame([(*r, 1, 2) for r in rows], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
-    got = sorted(str(r.doc_id) for r in pipeline.run(spark, str(tmp_path)).collect())
-    assert got == ["1", "None"]
-    first = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
-    for _, stage in pipeline.STAGES:
+CLASH = "_score int, _turn int, __pair int, __spans int, size int, Target string, `a.b c` int, doc int, key int, row int, fp int, score int, cuts int"
+
+
+def test_hostile_columns_and_nulls(spark, tmp_path):
+    leak = " ".join(f"leak{i}" for i in range(12))
+    docs = [(None, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "one text without an id", "en", None, 0), (None, "quite another one here", "en", None, 0), (None, leak, "en", "a", 0)]
+    docs += [(7, "alpha beta gamma delta epsilon", "en", "a", 0), (7, "password: hunter2hunter2 is what they use", "en", "a", 0), (8, "alpha beta gamma delta epsilon", "en", "b", 0)]
+    own = tuple(range(13))
+    for name, rows, schema in (("documents", [(*r, *own[:5], "t", *own[6:]) for r in docs], f"{SCHEMA}, {CLASH}"), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [(1, leak)], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = pipeline.run(spark, str(tmp_path))
+    first = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert out.columns == [{"size": "size_input", "Target": "Target_input"}.get(c, c) for c in first.columns] + ["size", "source_size", "target", "taken"]
+    got = out.collect()
+    want = [(1, None), (None, "one text without an id"), (None, "quite another one here"), (7, "alpha beta gamma delta epsilon"), (7, "[secret] is what they use")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(tuple(r)[5:18] == (*own[:5], "t", *own[6:]) for r in got)
+    assert all(r["size"] == len((r.text or "").split()) and r.taken is not None for r in got)
+    first = first.limit(0)
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, first, str(tmp_path)).columns == first.columns
         first = stage(spark, first, str(tmp_path))
         assert first.count() == 0
+    assert pipeline.mix_sources(spark, first, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_decided_by_row(spark, tmp_path):
+    text = "one two three four five six seven"
+    docs = [(None, text, "en", "a", 0), (None, text, "en", "a", 0), (None, "no copy at all", "en", "a", 0), (5, text, "en", "b", 0), (5, text, "en", "b", 0), (9, text, "en", "c", 0), (5, "another text of its own", "en", "b", 0), (None, "no copy at all", "en", "z", 0)]
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, text), (5, "another text of its own"), (None, "no copy at all")], key=str)
 
 
 def test_contamination_is_decided_by_row(spark, tmp_path):

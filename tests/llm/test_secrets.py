@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lodestitch.llm import secrets
 
@@ -48,3 +49,41 @@ def test_live_and_copied(spark):
     got = sorted((str(r.doc_id), r.spans, r.n_live, r.n_copied) for r in secrets.digest(secrets.scan(df)).collect())
     assert got == [("1", "", 0, 0), ("2", "", 0, 0), ("3", "live:4:24", 1, 0), ("3", "live:4:24", 1, 0), ("None", "assign:0:15", 1, 0)]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_many_repositories_of_one_owner_are_copies(spark):
+    key, few = "Zx81" * 6, "Qw12" * 6
+    rows = [(d, f"use {key} now", "a") for d in range(secrets.MAX_LIVE_REPOS + 1)] + [(100 + d, few, "a") for d in range(secrets.MAX_LIVE_REPOS)]
+    got = secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    assert {(r.doc_id < 100, r.spans, r.n_live) for r in got} == {(True, "", 0), (False, "live:0:24", 1)}
+
+
+def redacted(text, spans):
+    out, at = "", 0
+    for start, _, end, _ in sorted(spans):
+        if end > at:
+            if start > at or not out and not at:
+                out += text[at:start] + "[secret]"
+            at = end
+    return out + text[at:]
+
+
+def test_redaction(spark):
+    rng = random.Random(9)
+    bits = ["password:", "AKIA", "ABCDEFGHIJKLM", "0123456789abcdef" * 2, " ", "é😀", "word ", "token=hunter2hunter2", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(200)] + [None, "", "token=hunter2hunter2", "x" * 10 + "password: hunter2hunter2 é😀 " * 500]
+    rows = [(rng.choice([None, 1, d]), t, "s", 1, 2, [3]) for d, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key int, cuts int, `a.b c` array<int>").repartition(3)
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), r.text or "", r.text is None) for r in out.collect())
+    assert got == sorted((str(d), redacted(t or "", base(t)), t is None) for d, t, *_ in rows)
+
+
+def test_work_is_linear_in_spans(spark):
+    text = "token=hunter2hunter2 and " * 20_000
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    start = time.time()
+    assert secrets.digest(secrets.scan(df)).first().n_assign == 20_000
+    assert secrets.redact(df).first().text == "[secret] and " * 20_000
+    assert time.time() - start < 60
