@@ -69,7 +69,7 @@ def hand_label_sample(pairs: DataFrame, id_to_true: DataFrame, size: int = 300,
 
     Distributed and repeatable: rows are drawn in the order of a seeded hash.
     """
-    draw = F.xxhash64(F.lit(seed), "id")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
     mid = pairs.where(band(F.col("similarity_score")) == "mid").orderBy(draw, "id").limit(size // 3)
     some = mid.select("id").count()
     rest = pairs.where(band(F.col("similarity_score")) != "mid").orderBy(draw, "id").limit(size - some)

@@ -12,6 +12,7 @@ from lodestitch.operators import blocking, evaluate, resolve, review, scoring
 from lodestitch.operators.components import connected_components
 from lodestitch.operators.normalize import normalize, with_ids
 from lodestitch.operators.scratch import Scratch
+from lodestitch.plans.linkage import Linkage
 from lodestitch.sources import files, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,7 +111,7 @@ def _sql_names() -> str:
     return ", ".join(steps)
 
 
-_NORM = f"{_ENT}, {_sql_names()}, norm AS (SELECT ent.id, normalized_name, legal_suffix, tokens, {_sql_address('raw_address')} AS normalized_address, {_sql_city_from('raw_address')} AS normalized_city, {_sql_postal('raw_address')} AS normalized_postal_code FROM ent JOIN nm USING (id))"
+_NORM = f"{_ENT}, {_sql_names()}, norm AS (SELECT ent.id, source, normalized_name, legal_suffix, tokens, {_sql_address('raw_address')} AS normalized_address, {_sql_city_from('raw_address')} AS normalized_city, {_sql_postal('raw_address')} AS normalized_postal_code FROM ent JOIN nm USING (id))"
 _TOK = f"CASE WHEN len(tokens) > 0 THEN tokens ELSE {_sql_words('normalized_name')} END"
 
 
@@ -245,7 +246,20 @@ def _sql_indel(a: str, b: str) -> str:
     return f"2 * (length({a}) - bit_count({last})) / (length({a}) + length({b}))"
 
 
-_PAIRED = f"{_BLOCKED}, two AS (SELECT a, b, x.normalized_name AS na, y.normalized_name AS nb, array_to_string(list_sort({_sql_words('x.normalized_name')}), ' ') AS sa, array_to_string(list_sort({_sql_words('y.normalized_name')}), ' ') AS sb, x.normalized_postal_code AS pa, y.normalized_postal_code AS pb, x.normalized_city AS ca, y.normalized_city AS cb FROM pairs JOIN norm x ON x.id = a JOIN norm y ON y.id = b)"
+_PAIRED = f"{_BLOCKED}, two AS (SELECT a, b, k, x.source AS oa, y.source AS ob, x.normalized_address AS aa, y.normalized_address AS ab, array_to_string(list_sort({_sql_words('x.normalized_address')}), ' ') AS ta, array_to_string(list_sort({_sql_words('y.normalized_address')}), ' ') AS tb, x.normalized_name AS na, y.normalized_name AS nb, array_to_string(list_sort({_sql_words('x.normalized_name')}), ' ') AS sa, array_to_string(list_sort({_sql_words('y.normalized_name')}), ' ') AS sb, x.normalized_postal_code AS pa, y.normalized_postal_code AS pb, x.normalized_city AS ca, y.normalized_city AS cb FROM pairs JOIN norm x ON x.id = a JOIN norm y ON y.id = b)"
+
+
+# The best insert-delete ratio of the shorter name with a window of the longer one, in both directions for equal lengths.
+_PARTIAL = """sides AS (SELECT DISTINCT na, nb, x.s AS s, x.l AS l FROM (SELECT na, nb, unnest(CASE WHEN length(na) < length(nb) THEN [struct_pack(s := na, l := nb)] WHEN length(na) > length(nb) THEN [struct_pack(s := nb, l := na)] ELSE [struct_pack(s := na, l := nb), struct_pack(s := nb, l := na)] END) AS x FROM (SELECT DISTINCT na, nb FROM two WHERE na <> '' AND nb <> ''))),
+masks AS (SELECT na, nb, length(s) AS n, length(l) AS m, (CAST(1 AS HUGEINT) << length(s)) - 1 AS ones, list_transform(string_split(l, ''), lambda c: coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN substr(s, i, 1) = c THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END)), 0)::HUGEINT) AS bits FROM sides),
+windows AS (SELECT na, nb, n, m, ones, bits, unnest(range(1, m + n)) AS stop FROM masks),
+partials AS (SELECT na, nb, max(2 * (n - bit_count(list_reduce(list_slice(bits, greatest(0, stop - n) + 1, least(stop, m)), lambda v, x: ((v + (v & x)) | (v - (v & x))) & ones, ones))) / (n + least(stop, m) - greatest(0, stop - n))) AS best FROM windows GROUP BY na, nb)"""
+_FEATURES = f"""{_PAIRED}, {_PARTIAL},
+feats AS (SELECT two.*, CASE WHEN na = '' AND nb = '' THEN 1.0 ELSE {_sql_indel('sa', 'sb')} END::DOUBLE AS name_token_sort, CASE WHEN na = '' OR nb = '' THEN CAST(na = nb AS INT) ELSE best END::DOUBLE AS name_partial, CASE WHEN na = '' OR nb = '' THEN CAST(na = nb AS INT) ELSE jaro_winkler_similarity(na, nb) END::DOUBLE AS name_jaro_winkler,
+ CASE WHEN aa = '' OR ab = '' THEN 0 ELSE {_sql_indel('ta', 'tb')} END::DOUBLE AS address_token_sort, CASE WHEN pa = '' OR pb = '' THEN 0.5 WHEN pa = pb THEN 1.0 ELSE 0.0 END::DOUBLE AS postal_match, CASE WHEN ca = '' OR cb = '' THEN 0.5 ELSE {_sql_indel('ca', 'cb')} END::DOUBLE AS city_similarity FROM two LEFT JOIN partials USING (na, nb)),
+numbered AS (SELECT CAST(row_number() OVER (ORDER BY k.strategy, k.first, a, b) AS BIGINT) AS id, * FROM feats)"""
+_TOTAL = " + ".join(["0::DOUBLE", *[f"{name} * {weight}::DOUBLE" for name, weight in scoring.WEIGHTS.items()]])
+_OWN = f"{_FEATURES}, scored AS (SELECT id, a AS entity_a_id, b AS entity_b_id, k.key AS blocking_key, {_TOTAL} AS similarity_score FROM numbered)"
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,14 +282,24 @@ def feat_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).select("entity_a_id", "entity_b_id", "postal_match", F.round("city_similarity", 6).alias("city_similarity"))
 
 
-@query()
+@query(f"{_FEATURES} SELECT a AS entity_a_id, b AS entity_b_id, round(name_partial, 6) AS name_partial FROM feats")
+def feat_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir).select("entity_a_id", "entity_b_id", F.round("name_partial", 6).alias("name_partial"))
+
+
+@query(f"{_FEATURES} SELECT a AS entity_a_id, b AS entity_b_id, round(address_token_sort, 6) AS address_token_sort FROM feats")
+def feat_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir).select("entity_a_id", "entity_b_id", F.round("address_token_sort", 6).alias("address_token_sort"))
+
+
+@query(f"{_FEATURES} SELECT id, a AS entity_a_id, b AS entity_b_id, {', '.join(f'round({c}, 9) AS {c}' for c in scoring.WEIGHTS)} FROM numbered")
 def feat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestitch.schema import FEATURES
 
     return _features(spark, sf_dir).select("id", "entity_a_id", "entity_b_id", *[F.round(c, 9).alias(c) for c in FEATURES])
 
 
-@query()
+@query(f"{_OWN} SELECT id, entity_a_id, entity_b_id, round(similarity_score, 9) AS similarity_score FROM scored")
 def score_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.HeuristicScorer().score(_features(spark, sf_dir)).select("id", "entity_a_id", "entity_b_id", F.round("similarity_score", 9).alias("similarity_score"))
 
@@ -290,13 +314,16 @@ def score_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_pairs(pairs, e, scorer).select("id", F.round("similarity_score", 4).alias("similarity_score"))
 
 
-_SCORED = SCORED.format(customer="customer")
-_BANDED = f"scored AS ({_SCORED}), banded AS (SELECT *, CASE WHEN similarity_score >= 0.75 THEN 'match' WHEN similarity_score <= 0.6 THEN 'no_match' ELSE 'review' END AS first_decision FROM scored)"
-_CLUSTERED = f"""WITH RECURSIVE {_BANDED}, edges AS (SELECT entity_a_id AS u, entity_b_id AS v FROM banded WHERE first_decision = 'match' UNION SELECT entity_b_id, entity_a_id FROM banded WHERE first_decision = 'match'),
+_BANDS = "banded AS (SELECT *, CASE WHEN similarity_score >= 0.75 THEN 'match' WHEN similarity_score <= 0.6 THEN 'no_match' ELSE 'review' END AS first_decision FROM scored)"
+_BANDED = f"scored AS ({SCORED.format(customer='customer')}), {_BANDS}"
+_RESOLVED = """edges AS (SELECT entity_a_id AS u, entity_b_id AS v FROM banded WHERE first_decision = 'match' UNION SELECT entity_b_id, entity_a_id FROM banded WHERE first_decision = 'match'),
 reach AS (SELECT u AS node, u AS other FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON e.u = r.other),
 comp AS (SELECT node, min(other) AS cluster_id FROM reach GROUP BY node),
 flagged AS (SELECT DISTINCT x.cluster_id FROM banded JOIN comp x ON x.node = entity_a_id JOIN comp y ON y.node = entity_b_id WHERE first_decision = 'no_match' AND x.cluster_id = y.cluster_id),
-touched AS (SELECT node FROM comp JOIN flagged USING (cluster_id))"""
+touched AS (SELECT node FROM comp JOIN flagged USING (cluster_id)),
+decided AS (SELECT *, CASE WHEN entity_a_id IN (SELECT node FROM touched) OR entity_b_id IN (SELECT node FROM touched) THEN 'review' ELSE first_decision END AS decision FROM banded)"""
+_CLUSTERED = f"WITH RECURSIVE {_BANDED}, {_RESOLVED}"
+_RUN = f"{_OWN.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_BANDS}, {_RESOLVED}"
 
 
 @query(f"WITH {_BANDED} SELECT id, first_decision AS decision FROM banded")
@@ -347,14 +374,29 @@ def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.score_bands(scored_pairs(spark, sf_dir))
 
 
-@query()
+_DRAWN = f"""{_OWN}, {_TRUE}, drawn AS (SELECT *, CASE WHEN similarity_score >= 0.83 THEN 'high' WHEN similarity_score <= 0.55 THEN 'low' ELSE 'mid' END = 'mid' AS mid, md5(concat('99:', id)) AS turn FROM scored),
+middle AS (SELECT * FROM drawn WHERE mid ORDER BY turn, id LIMIT 100), others AS (SELECT * FROM drawn WHERE NOT mid ORDER BY turn, id LIMIT (SELECT 300 - count(*) FROM middle))"""
+
+
+@query(f"{_DRAWN} SELECT id, CASE WHEN t.a IS NOT NULL THEN 'match' ELSE 'no_match' END AS hand_label FROM (SELECT * FROM middle UNION ALL SELECT * FROM others) x LEFT JOIN true_pairs t ON t.a = entity_a_id AND t.b = entity_b_id")
 def hand_label_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Scratch(spark, "sample").write(entities(spark, sf_dir))
     pairs = scoring.score_pairs(blocking.block(e, CAP), e)
     return evaluate.hand_label_sample(pairs, raw_entities(spark, sf_dir).select("id", "true_entity_id")).select("id", "hand_label")
 
 
-@query()
+def _sql_explained() -> str:
+    lists = {"agreements": [], "disagreements": [], "uncertain": []}
+    missing = {"address_token_sort": "aa = '' OR ab = ''", "postal_match": "pa = '' OR pb = ''", "city_similarity": "ca = '' OR cb = ''"}
+    for name, label in review.LABELS.items():
+        gone = missing.get(name, "FALSE")
+        for state, test in (("agreements", f"NOT ({gone}) AND {name} >= {review.AGREE}"), ("disagreements", f"NOT ({gone}) AND {name} <= {review.DISAGREE}"), ("uncertain", gone)):
+            lists[state].append(f"CASE WHEN {test} THEN '{label}' END")
+    columns = ", ".join(f"concat_ws('; ', {', '.join(cases)}) AS {state}" for state, cases in lists.items())
+    return f"{_RUN} SELECT id, {columns} FROM numbered WHERE id IN (SELECT id FROM decided WHERE decision = 'review')"
+
+
+@query(_sql_explained())
 def explain_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Scratch(spark, "explain").write(entities(spark, sf_dir))
     pairs = scoring.score_pairs(blocking.block(e, CAP), e)
@@ -363,7 +405,23 @@ def explain_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *[F.array_join(c, "; ").alias(c) for c in ("agreements", "disagreements", "uncertain")])
 
 
-@query()
+_METRICS = f"""{_RUN}, {_TRUE}, won AS (SELECT entity_a_id AS a, entity_b_id AS b FROM decided WHERE decision = 'match'),
+c AS (SELECT (SELECT count(*) FROM ent) AS n_entities, (SELECT count(*) FROM pairs) AS n_candidate_pairs, (SELECT count(*) FROM true_pairs) AS n_true_match_pairs, (SELECT count(*) FROM pairs JOIN true_pairs USING (a, b)) AS found,
+ (SELECT count(*) FROM won) AS n_matches, (SELECT count(*) FROM won JOIN true_pairs USING (a, b)) AS hit, (SELECT count(*) FROM decided WHERE decision = 'no_match') AS n_no_matches, (SELECT count(*) FROM decided WHERE decision = 'review') AS n_review_queue, (SELECT count(DISTINCT cluster_id) FROM comp) AS n_clusters, (SELECT count(*) FROM flagged) AS n_flagged_conflict_clusters)
+SELECT n_entities, n_candidate_pairs, n_true_match_pairs, round(found / n_true_match_pairs, 9) AS blocking_recall, n_true_match_pairs - found AS blocking_missed, round(hit / n_matches, 9) AS full_dataset_precision, round(hit / n_true_match_pairs, 9) AS full_dataset_recall, round(2 * hit / (n_matches + n_true_match_pairs), 9) AS full_dataset_f1, n_matches, n_no_matches, n_review_queue, n_clusters, n_flagged_conflict_clusters FROM c"""
+
+
+@query(_METRICS)
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of a whole run."""
+    raw = raw_entities(spark, sf_dir)
+    loaded = raw.select("source", "external_id", "raw_name", "raw_address", F.lit("").alias("city"), F.lit("").alias("postal_code"), F.lit(0).alias("source_order"), F.col("id").alias("row"))
+    m = Linkage(sample_size=0).run(loaded, raw.select("source", "external_id", F.col("true_entity_id").cast("string").alias("true_entity_id"), F.lit(False).alias("is_confusable_distinct"))).metrics
+    kinds = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in m.items())
+    return spark.createDataFrame([tuple(round(v, 9) if isinstance(v, float) else v for v in m.values())], kinds)
+
+
+@query(f"{_RUN} SELECT id, entity_a_id, entity_b_id, blocking_key, round(similarity_score, 9) AS similarity_score, decision FROM decided")
 def linkage_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of the whole run."""
     e = Scratch(spark, "run").write(entities(spark, sf_dir))
