@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -54,9 +55,12 @@ WORD_GROUPS = (
 )
 _GROUPS = [frozenset(g.split()) for g in WORD_GROUPS]
 _TAGS = ("article", "main", "section", "div", "p", "ul", "li", "table", "td", "nav", "header", "footer", "aside", "form", "h1", "h2", "h3", "blockquote", "pre", "figure", "dialog", "details", "address", "search")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|[^<]++|<", re.S)
 #: A whole attribute, so that nothing inside a value or a longer name counts as one.
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: What an open paragraph around does not reach into, and the end tags of raw elements.
+_CELLS = frozenset("table td th".split())
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 _NAMED = frozenset("id class role itemprop aria-label".split())
 _NAME = re.compile(r"[a-z]+")
 
@@ -68,83 +72,119 @@ class Node:
     depth: int
     words: frozenset = frozenset()
     hidden: bool = False
-    texts: int = 0
-    links: int = 0
-    words_in: int = 0
-    stops: int = 0
     children: list = field(default_factory=list)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
-    """Block nodes in page order, and the texts ``(node, text, in a link)`` with None texts at breaks."""
+class _Open:
+    """The open elements, with counts, so that no question about them takes a walk that does not end in closing them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("#", 0)]
+        self.tags: Counter = Counter()
+        #: open paragraphs in each table or cell around
+        self.paragraphs = [0]
+
+    @property
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        self.tags[tag] += 1
+        if tag in _CELLS:
+            self.paragraphs.append(0)
+        self.paragraphs[-1] += tag == "p"
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.tags[tag] -= 1
+        self.paragraphs[-1] -= tag == "p"
+        if tag in _CELLS:
+            self.paragraphs.pop()
+        return tag
+
+    def close(self, tag: str) -> bool:
+        """Closes the innermost ``tag`` and all in it, if one is open."""
+        if not self.tags[tag]:
+            return False
+        while self.pop() != tag:
+            pass
+        return True
+
+    def close_within(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Closes the innermost of ``tags`` unless a ``scope`` lies between."""
+        if not any(self.tags[t] for t in tags):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            tag = self.stack[i][0]
+            if tag in tags:
+                while len(self.stack) > i:
+                    self.pop()
+            if tag in tags or tag in scope:
+                return
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None, bool]]]:
+    """Block nodes in page order, and the texts ``(node, text, in a link)`` with None texts at breaks.
+
+    A tag ends at the first ``>`` outside of quotes, or where quotes are not closed at the
+    first one; what looks like a tag and has no end is text.  Time is linear in the page.
+    """
     nodes = [Node("#", -1, 0)]
     texts: list[tuple[int, str | None, bool]] = []
-    stack: list[tuple[str, int]] = [("#", 0)]
+    stack = _Open()
     in_link = False
-    at, end = 0, len(page)
-    lower = None
+    at, end, last = 0, len(page), page.rfind(">")
+    unclosed: set[str] = set()
     while at < end:
-        m = _TOKEN.match(page, at)
-        if m is None:
+        if page[at] == "<" and at > last and not page.startswith("<!--", at):
+            texts.append((stack.node, "<", in_link))
             at += 1
             continue
+        m = _TOKEN.match(page, at)
         at = m.end()
-        name = m[2]
+        slash, name, attributes = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
         if name is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
-                texts.append((stack[-1][1], piece, in_link))
+                texts.append((stack.node, piece, in_link))
             continue
         name = name.lower()
-        if m[1]:
+        if slash:
             if name == "a":
                 in_link = False
-            elif name == "p" and not any(t == "p" for t, _ in stack):
-                texts.append((stack[-1][1], None, False))
-            elif name in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        in_link = False
-                        break
+            elif name == "p" and not stack.tags["p"]:
+                texts.append((stack.node, None, False))
+            elif name in BLOCK and stack.close(name):
+                in_link = False
             continue
         if name in RAW:
-            if m[3].endswith("/") and name in ("svg", "math"):
+            if attributes.endswith("/") and name in ("svg", "math"):
                 continue
-            lower = page.lower() if lower is None or len(lower) != end else lower
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if close is None:
+            close = None if name in unclosed else _CLOSE[name].search(page, at)
+            if close is not None:
+                at = close.end()
+            else:
+                unclosed.add(name)  # none further on either
                 if name in ("script", "style", "title", "textarea", "noscript", "iframe"):
                     at = end
-            else:
-                at = close.end()
             continue
         if name == "br" or name == "hr":
-            texts.append((stack[-1][1], " ", in_link))
+            texts.append((stack.node, " ", in_link))
             continue
         if name == "a":
             in_link = True
             continue
         if name in VOID or name not in BLOCK:
             continue
-        if any(t == "p" for t, _ in stack) and name not in ("caption",):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("td", "th", "table"):
-                    break
+        if stack.paragraphs[-1] and name != "caption":
+            stack.close("p")
         if name in _ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _ENDS[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPE[name]:
-                    break
+            stack.close_within(_ENDS[name], _SCOPE[name])
         words, hidden = frozenset(), False
-        if m[3]:
+        if attributes:
             found = set()
-            for attribute in _ATTRIBUTE.finditer(m[3]):
+            for attribute in _ATTRIBUTE.finditer(attributes):
                 key = attribute[1].lower()
                 value = attribute[2] or attribute[3] or attribute[4] or ""
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -152,10 +192,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
                 elif key in _NAMED:
                     found.update(_NAME.findall(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower()))
             words = frozenset(found)
-        top = stack[-1][1]
+        top = stack.node
         node = Node(name, top, nodes[top].depth + 1, words, hidden)
         nodes[top].children.append(len(nodes))
-        stack.append((name, len(nodes)))
+        stack.push(name, len(nodes))
         nodes.append(node)
         in_link = False
     return nodes, texts
@@ -182,13 +222,13 @@ def features(nodes: list[Node], texts: list[tuple[int, str | None, bool]]) -> np
         size[nodes[i].parent] += size[i]
     total = max(1.0, chars[0])
     rows = np.zeros((n, 12 + len(_GROUPS) + len(_TAGS)), np.float32)
+    alike = Counter((node.parent, node.tag) for node in nodes)
     for i, node in enumerate(nodes):
         siblings = nodes[node.parent].children if i else [0]
-        same = sum(nodes[s].tag == node.tag for s in siblings[:50])
         above = max(1.0, chars[node.parent]) if i else total
         rows[i, :12] = (
             node.depth, np.log1p(chars[i]), links[i] / max(1.0, chars[i]), chars[i] / total, chars[i] / above, np.log1p(chars[i] / size[i]),
-            stops[i] / max(1.0, words[i]), np.log1p(paragraphs[i]), np.log1p(len(node.children)), np.log1p(len(siblings)), same / min(50, len(siblings)), i / n,
+            stops[i] / max(1.0, words[i]), np.log1p(paragraphs[i]), np.log1p(len(node.children)), np.log1p(len(siblings)), alike[node.parent, node.tag] / len(siblings), i / n,
         )
         if node.words:
             rows[i, 12 : 12 + len(_GROUPS)] = [bool(node.words & g) for g in _GROUPS]
@@ -408,7 +448,7 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 11) -> Boosted:
 _PAGES_AT_ONCE = 256
 
 #: Share of an ancestor's evidence that reaches its children, and of log-odds at which a node goes.
-INHERIT, CUT = 0.4, 0.0
+INHERIT, CUT = 0.5, 0.0
 
 
 def dropped(nodes: list[Node], odds: np.ndarray) -> np.ndarray:

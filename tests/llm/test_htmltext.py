@@ -1,4 +1,5 @@
 import random
+import time
 
 from lodestitch.llm import htmltext
 
@@ -51,3 +52,26 @@ def test_only_a_hidden_attribute_hides():
         assert "caf" not in htmltext.main_text(PAGE[:at] + " " + attribute + PAGE[at:], model)
     for attribute in ("hidden", 'style="overflow-x:hidden"'):
         assert htmltext.main_text(PAGE.replace("<body>", f"<body {attribute}>"), model) == want
+
+
+def test_hostile_pages_take_linear_time():
+    pages = {"<a ": 100_000, "<div>": 60_000, "<svg>": 60_000, '<a "x ': 60_000, "<a \"'>": 60_000, "<ul><li><div>": 20_000, "<div></section>": 40_000, "<!": 100_000, "<p><table><td><div>": 20_000, "&": 200_000}
+    for piece, times in pages.items():
+        start = time.time()
+        htmltext.parse(piece * times)
+        assert time.time() - start < 10, piece
+    assert htmltext.parse('a<b title="x>y">c</b> <i "open>d')[1][-1][1] == "d"
+
+
+# Pages in other tongues, whose classes are in none of the groups of words; what a reader would keep is marked by hand.
+LONG = ["Der Rat hat am Montag beschlossen, die alte Brücke zu sanieren, weil sie den Verkehr nicht mehr trägt.", "Die Arbeiten dauern zwei Jahre, sagte die Leiterin des Amtes, und kosten mehr als geplant war.", "Anwohner hatten lange darauf gedrängt, denn der Umweg kostet sie jeden Morgen viel Zeit."]
+FOREIGN = [
+    f"<html><body><nav><ul><li><a href=/>Start</a></li><li><a href=/s>Sport</a></li><li><a href=/k>Kultur</a></li></ul></nav><div class=beitrag><h1>Brücke wird saniert</h1><p>{LONG[0]}</p><p>{LONG[1]}</p><p>{LONG[2]}</p></div><footer>Impressum und Datenschutz</footer></body></html>",
+    f"<html><body><div class=kopfzeile><ul><li><a href=/>Start</a></li><li><a href=/s>Sport</a></li><li><a href=/k>Kultur</a></li><li><a href=/w>Wetter</a></li></ul></div><article class=xq1><p>{LONG[0]}</p><p>{LONG[1]}</p></article><aside class=rand><h3>Mehr</h3><ul><li><a href=/1>Eins</a></li><li><a href=/2>Zwei</a></li></ul></aside></body></html>",
+    f"<body><form class=suche><label>Suchen nach</label><input name=q><button>Los</button></form><main class=haupt><h1>Brücke wird saniert</h1><p>{LONG[0]}</p><p>{LONG[2]}</p><blockquote>{LONG[1]}</blockquote></main><footer><ul><li><a href=/i>Impressum</a></li><li><a href=/d>Datenschutz</a></li></ul></footer>",
+]
+WANTED = [f"Brücke wird saniert {' '.join(LONG)}", " ".join(LONG[:2]), f"Brücke wird saniert {LONG[0]} {LONG[2]} {LONG[1]}"]
+
+
+def test_pages_with_foreign_names():
+    assert htmltext.main_texts(FOREIGN, htmltext.trained()) == WANTED
