@@ -53,9 +53,39 @@ def test_payloads_and_files(spark, tmp_path):
     assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n") and data.count(b"WARC-Type: metadata") == 6
 
 
+def test_revisits_name_their_response(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archive(df, path)
+    records = warc.read_records(spark, path).collect()
+    ids = [r.record_id for r in records]
+    assert len(set(ids)) == len(ids) == 3 * len(ROWS)
+    responses = {r.record_id: r for r in records if r.type == "response"}
+    revisits = [r for r in records if r.type == "revisit"]
+    assert revisits and all(responses[r.refers_to].payload_digest == r.payload_digest for r in revisits)
+
+
+def records_of(spark, rows):
+    return spark.createDataFrame([(i, kind, to, None, None, None, None, None, None) for i, kind, to in rows], warc._RECORD)
+
+
+def test_chains_and_several_targets(spark):
+    rows = [("<r>", "response", []), ("<q>", "request", ["<r>"]), ("<m>", "metadata", ["<q>"]), ("<m2>", "metadata", ["<m>"]), ("<m3>", "metadata", ["<gone>", "<r>"])]
+    rows += [("<r2>", "response", ["<q2>"]), ("<q2>", "request", []), ("<a>", "metadata", ["<b>"]), ("<b>", "metadata", ["<a>"]), (None, "metadata", []), (None, "metadata", []), (None, "request", ["<r>"])]
+    got = {r.capture_id: r for r in warc.assemble(records_of(spark, rows).repartition(3)).collect()}
+    assert got["<r>"].n_requests == 2 and got["<r>"].n_metadata == 3 and got["<r>"].metadata.record_id == "<m2>"
+    assert got["<r2>"].request.record_id == "<q2>"
+    assert len(got) == 6 and sum(r.response is None and r.n_metadata == 1 for r in got.values()) == 4
+
+
+def test_repeated_headers_are_all_read():
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert [warc._row(*r)[2] for r in warc.parse_archive(record)] == [["<a>", "<b>"]]
+
+
 def test_orphans_and_empty(spark, tmp_path):
     assert run(spark, tmp_path, []).count() == 0
-    rows = [("<q>", "request", "<gone>"), ("<r>", "response", None), ("<m2>", "metadata", "<r>"), ("<m1>", "metadata", "<r>")]
-    records = spark.createDataFrame([(*r, None, None, None, None, None, None) for r in rows], warc._RECORD)
+    rows = [("<q>", "request", ["<gone>"]), ("<r>", "response", None), ("<m2>", "metadata", ["<r>"]), ("<m1>", "metadata", ["<r>"])]
+    records = records_of(spark, rows)
     got = {r.capture_id: r for r in warc.assemble(records).collect()}
     assert got["<gone>"].response is None and got["<r>"].metadata.record_id == "<m1>" and got["<r>"].n_metadata == 2
