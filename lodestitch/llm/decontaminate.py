@@ -11,8 +11,10 @@ of the other terms, adjusted likewise, from rare to frequent.  What is left are
 phrase matches.  Proximity matches ask that all terms lie within the phrase's length
 and ``slop`` more words, in any order.
 
-The phrases go to all tasks, ``MAX_PHRASE_WORDS`` words of them at a time; a larger
-benchmark is looked up in as many passes over the index as that takes.
+The phrases go to all tasks, ``MAX_PHRASE_WORDS`` words of them at a time.  A larger
+benchmark is looked up in as many passes over the index as that takes, one after the
+other: the driver and the tasks hold the phrases of one pass, whose hits are written
+before the next is made.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,12 +162,12 @@ def phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int, par
     return dict(found)
 
 
-def find(index: DataFrame, wanted: dict[tuple[bytes, ...], set], slop: int | None = None) -> DataFrame:
+def find(index: DataFrame, shared: Broadcast, slop: int | None = None) -> DataFrame:
     """``(block, place, doc_id, n_words, hits, items)`` per document; hits are packed ``start << 32 | length``.
 
-    With ``slop`` the hits are proximity matches, whose length is one word.
+    ``shared`` are the phrases, broadcast.  With ``slop`` the hits are proximity matches,
+    whose length is one word.
     """
-    shared = index.sparkSession.sparkContext.broadcast(wanted)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +216,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index = store.write(build_index(docs, id_col, text_col, window))
     total = benchmark.select(F.sum(F.length(F.col(item_text_col).cast("string")))).first()[0] or 0
     parts = 1 + total // (2 * MAX_PHRASE_WORDS)
-    found = [find(index, phrases(benchmark, item_col, item_text_col, window, parts, part), slop) for part in range(parts)]
-    out = found[0]
-    if parts > 1:
+    context = docs.sparkSession.sparkContext
+    share = lambda part: context.broadcast(phrases(benchmark, item_col, item_text_col, window, parts, part))
+    if parts == 1:
+        out = find(index, share(0), slop)
+    else:
+        found = []
+        for part in range(parts):
+            shared = share(part)
+            hits = find(index, shared, slop)
+            # All documents come from the first pass, and what is hit from any.
+            found.append(store.write(hits if part == 0 else hits.where(F.size("hits") > 0)))
+            shared.destroy()
+        out = found[0]
         for more in found[1:]:
             out = out.unionAll(more)
         both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
