@@ -178,7 +178,7 @@ def _columns(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray,
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """``(d, h, spans)`` per document that loses words: packed ``start << 32 | count`` runs of windows.
 
-    ``docs`` has ``d`` and ``h`` (long, never null) and ``text``.
+    ``docs`` has ``doc_id``, ``d`` and ``h`` (long, the last two never null) and ``text``.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +276,8 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     found = docs.select("d", "h", "text").mapInArrow(anchors, "k long, d long, h long, s int, known boolean")
     repeated = found.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("known or c > 1")
     starts = repeated.groupBy("d", "h").agg(F.collect_list(F.col("s").cast("long")).alias("starts"))
-    runs = docs.join(starts, ["d", "h"]).select("d", "h", "text", "starts").mapInArrow(extend, "k1 long, k2 long, d long, h long, s int, n int, windows binary, known boolean")
+    # With doc_id, though it is not needed here: so both joins read the same columns, and the texts are dealt out once.
+    runs = docs.join(starts, ["d", "h"]).select("d", "h", "text", "starts", "doc_id").mapInArrow(extend, "k1 long, k2 long, d long, h long, s int, n int, windows binary, known boolean")
     order = Window.partitionBy("k1", "k2").orderBy("d", "h", "s")
     judged = runs.withColumn("gone", F.col("known") | (F.rank().over(order) > 1)).select("k2", "d", "h", "s", "n", "windows", "gone")
     single = judged.mapInArrow(unfold, "k1 long, k2 long, d long, h long, s int, n int, known boolean")
