@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from lodestitch.llm.base import arrow_ready, raw_texts
 
-_CACHE_WORDS = 1_000_000
+#: Words that a task remembers, and bytes of the longest: the bound of its cache.
+_CACHE_WORDS, _CACHE_WORD = 1_000_000, 64
 #: Most pieces a vocabulary may have: the bound of what is broadcast.
 MAX_PIECES = 2_000_000
 
@@ -118,15 +119,17 @@ def count_tokens(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id",
 
         class Seen(dict):
             def __missing__(self, word: bytes) -> int:
-                value = self[word] = count(before_word + word)
+                value = count(before_word + word)
+                if len(word) <= _CACHE_WORD:
+                    if len(self) >= _CACHE_WORDS:
+                        self.clear()
+                    self[word] = value
                 return value
 
         seen = Seen()
         for batch in batches:
             words, tokens = [], []
             for text in raw_texts(batch, 1):
-                if len(seen) > _CACHE_WORDS:
-                    seen.clear()
                 split = (text or b"").split()
                 words.append(len(split))
                 tokens.append(sum(map(seen.__getitem__, split)))

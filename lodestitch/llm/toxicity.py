@@ -46,7 +46,8 @@ PIECE, STRIDE = 24, 6
 THRESHOLD = 0.3
 #: Steepest curve, so that words near the border keep middling scores.
 MAX_SLOPE = 8.0
-_CACHE_WORDS = 1_500_000
+#: Letters of the words whose scores a task remembers, with so many on top for each word.
+_CACHE_LETTERS, _WORD_LETTERS = 150_000_000, 90
 _NOT_LETTER = re.compile(r"[^\w\s]+|[\d_]+")
 _LONE = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 
@@ -414,12 +415,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         known: dict[str, float] = {}
+        size = 0
         for batch in batches:
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            if len(known) > _CACHE_WORDS:
+            if size > _CACHE_LETTERS:
                 known.clear()
+                size = 0
             fresh = list(set().union(*texts) - known.keys())
             known.update(zip(fresh, held.words(fresh).tolist()))
+            size += sum(map(len, fresh)) + _WORD_LETTERS * len(fresh)
             top = [max(((known[w], w) for w in words), default=(held.bias, None)) for words in texts]
             p = held.probability(np.array([s for s, _ in top], dtype=np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array([w for _, w in top], pa.string()), *batch.columns[2:]], names=names)
