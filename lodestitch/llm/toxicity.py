@@ -5,13 +5,16 @@ each weighted down by its gaps, and is normalised by length.  Words are compared
 letters only, in lower case, and lone letters in a row are read as one word, so
 ``m-o-r-o-n``, ``m o r o n`` and ``morxon`` all stay close to the word they disguise.
 
-Labels are given for texts, while an insult is a word in one of its sentences.  From
-a bounded sample of labelled texts the trainer finds letter sequences that texts
-labelled 1 have far more often than chance would give them; words of such texts that
-hold one are the positive examples, words of other texts the negative ones.
-Landmarks are drawn from both, and a squared-hinge SVM is fitted on their Nystroem
-features.  A text scores as its worst word, through a logistic curve fitted on the
-sample.  Only texts and labels are used.
+The training set is the distinct sentences of a bounded sample of labelled texts, each
+with the label of its text, or 0 if a text labelled 0 has it as well.  A sentence is a
+bag of words to the SVM: all words of a sentence labelled 0 are negative examples, and
+a sentence labelled 1 has witnesses, or none if it is a harmless one of its text.
+Witnesses are words that hold a letter sequence which sentences labelled 1 have far
+more often than chance would give them.  Landmarks are drawn from witnesses and other
+words, and a squared-hinge SVM is fitted on their Nystroem features.  A text scores by
+its two worst words, which may be one word used twice, through a logistic curve fitted
+on the sample: a word that only looks like an insult rarely comes twice.  Only texts
+and labels are used.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,21 +50,43 @@ PIECE, STRIDE = 24, 6
 THRESHOLD = 0.3
 #: Steepest curve, so that words near the border keep middling scores.
 MAX_SLOPE = 8.0
+#: Least slope for the worst word, so that of two texts the one with the worse word never scores lower for it.
+MIN_SLOPE = 0.1
 #: Letters of the words whose scores a task remembers, with so many on top for each word.
 _CACHE_LETTERS, _WORD_LETTERS = 150_000_000, 90
 _NOT_LETTER = re.compile(r"[^\w\s]+|[\d_]+")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _LONE = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct words of a text: letters only, lower case, runs of lone letters joined.
+def words_of(text: str | None) -> Counter:
+    """Words of a text and their uses, by first use: letters only, lower case, runs of lone letters joined.
 
     Marks enclose every word, so that the kernel can tell where it begins and ends.
     """
     plain = _NOT_LETTER.sub("", (text or "").lower())
-    words = {f"^{w}$" for w in plain.split()}
-    words.update(f"^{''.join(run.split())}$" for run in _LONE.findall(plain))
-    return words
+    words = Counter(plain.split())
+    words.update("".join(run.split()) for run in _LONE.findall(plain))
+    return Counter({f"^{w}$": n for w, n in words.items()})
+
+
+def sentences_of(text: str | None) -> list[str]:
+    """The sorted words of each sentence that has any, repeats included, in one string."""
+    return [" ".join(sorted(words.elements())) for part in _SENTENCE_END.split(text or "") if (words := words_of(part))]
+
+
+def _by_label(toxic: list[list[str]], clean: list[list[str]]) -> tuple[list[set[str]], list[set[str]]]:
+    """Words of the distinct sentences of either label, by the first text that has them: copies teach nothing twice."""
+    seen: set[str] = set()
+    held: dict[str, str] = {}
+    out: list[list[set[str]]] = []
+    for texts in (clean, toxic):
+        out.append([])
+        for text in texts:
+            new = [s for s in dict.fromkeys(text) if s not in seen]
+            seen.update(new)
+            out[-1].append({held.setdefault(w, w) for s in new for w in s.split(" ")})
+    return out[1], out[0]
 
 
 def _by_length(words: list[str], most: int = 4096) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -160,6 +186,8 @@ class Model:
     bias: float = -1.0
     slope: float = 0.0
     offset: float = -20.0
+    #: Weight of the second worst word beside the worst.
+    second: float = 0.0
 
     def __post_init__(self):
         self.landmarks = Landmarks(self.marks)
@@ -184,8 +212,21 @@ class Model:
         np.maximum.at(long, [i for i, _ in pieces], score)
         return np.where(np.isfinite(long), long, out)
 
+    def worst(self, words: Counter, known: dict[str, float]) -> tuple[float, float, str | None]:
+        """The scores of a text's two worst words, none below -1, where the SVM calls a word harmless, and the worst word."""
+        if not words:
+            return -1.0, -1.0, None
+        values = list(map(known.__getitem__, words))
+        first = max(values)
+        at = values.index(first)
+        word = next(islice(words, at, None))
+        if words[word] == 1:
+            values[at] = -1.0
+        return max(first, -1.0), max(max(values), -1.0), word
+
     def probability(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
+        """Of texts, one row of ``worst`` each."""
+        return 1 / (1 + np.exp(-np.clip(worst @ np.array([self.slope, self.second]) + self.offset, -30, 30)))
 
 
 def _grams(word: str) -> set[str]:
@@ -193,10 +234,10 @@ def _grams(word: str) -> set[str]:
 
 
 def _stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Letter sequences that mark toxic texts beyond chance, over all sequences tried.
+    """Letter sequences that mark sentences labelled 1 beyond chance, over all sequences tried.
 
-    Only words count that hardly any other clean text has, given how many toxic ones do: a harmless word that begins
-    like an insult is common among clean texts and would hide the sequence.
+    Sentences of one text count once, as they share a writer.  Only words count that hardly any other clean text has,
+    given how many toxic ones do: a harmless word that begins like an insult is common there and would hide it.
     """
     freq = Counter(w for words in clean for w in words)
     seen = Counter(w for words in toxic for w in words)
@@ -255,23 +296,28 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-4) ->
     return w[:-1], float(w[-1])
 
 
-def _logistic(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
+def _logistic(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Slopes of a weighted logistic curve, by projected Newton steps: the first one from ``MIN_SLOPE``, all to ``MAX_SLOPE``."""
+    x = np.hstack([z, np.ones((len(z), 1))])
+    low, high = np.array([MIN_SLOPE] + [0.0] * (z.shape[1] - 1) + [-np.inf]), np.array([MAX_SLOPE] * z.shape[1] + [np.inf])
+    a = np.zeros(x.shape[1])
+    a[0] = 1.0
+    start, pull = a.copy(), np.array([1e-3] * z.shape[1] + [1e-9])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g, h = cost * (p - y), cost * p * (1 - p)
-        grad = np.array([(g * z).sum() + 1e-3 * (a - 1), g.sum()])
-        hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-9]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
-        a = min(a, MAX_SLOPE)
-        if np.abs(grad[1]) < 1e-8 and np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        grad = x.T @ (cost * (p - y)) + pull * (a - start)
+        free = ~(((a <= low) & (grad > 0)) | ((a >= high) & (grad < 0)))
+        hess = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        step = np.zeros(len(a))
+        step[free] = np.clip(np.linalg.solve(hess[np.ix_(free, free)], grad[free]), -2, 2)
+        a = np.clip(a - step, low, high)
+        if np.abs(step).max() < 1e-6:
             break
-    return a, b
+    return a[:-1]
 
 
-def train(toxic: list[set[str]], clean: list[set[str]], prior: float) -> Model:
-    """Fits the model on the words of labelled texts; ``prior`` is the share of label 1 in all labels.
+def train(toxic_texts: list[list[str]], clean_texts: list[list[str]], prior: float) -> Model:
+    """Fits the model on the sentences of labelled texts; ``prior`` is the share of label 1 in all labels.
 
     Bounds of the fit, besides the texts: 4,000 positive words and 400 disguises of them,
     by use; as negative ones 2,000 words that hold a sequence, 6,000 that share three letters
@@ -281,6 +327,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], prior: float) -> Model:
     are of all words of whole texts.
     """
     prior = min(max(prior, 1e-4), 1 - 1e-4)
+    toxic, clean = _by_label(toxic_texts, clean_texts)
     flat = Model(offset=math.log(prior / (1 - prior)))
     stems = _stems(toxic, clean) if toxic and clean else []
     if not stems:
@@ -348,15 +395,15 @@ def train(toxic: list[set[str]], clean: list[set[str]], prior: float) -> Model:
         hard.update(rest[i] for i in worst)
         x_bad = np.vstack([x_bad, x_rest[worst]])
     half = CURVE_TEXTS // 3
-    texts = toxic[:half] + clean[-(CURVE_TEXTS - half) :]
-    label = np.array([1.0] * len(toxic[:half]) + [0.0] * (len(texts) - len(toxic[:half])))
+    texts = [Counter(w for s in text for w in s.split(" ")) for text in toxic_texts[:half] + clean_texts[-(CURVE_TEXTS - half) :]]
+    label = np.array([1.0] * len(toxic_texts[:half]) + [0.0] * (len(texts) - len(toxic_texts[:half])))
     all_words = sorted(set().union(*texts))
     score = dict(zip(all_words, model.words(all_words).tolist()))
-    worst = np.array([max((score[v] for v in words), default=model.bias) for words in texts])
+    worst = np.array([model.worst(words, score)[:2] for words in texts])
     weight = np.where(label > 0, prior / max(1, label.sum()), (1 - prior) / max(1, (1 - label).sum())) * len(label)
-    model.slope, _ = _logistic(worst, label, weight)
+    model.slope, model.second = map(float, _logistic(worst, label, weight))
     # The curve crosses the threshold where the sample's F1 is best.
-    model.offset = math.log(THRESHOLD / (1 - THRESHOLD)) - model.slope * _best_cut(worst, label, weight)
+    model.offset = math.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(worst @ np.array([model.slope, model.second]), label, weight)
     return model
 
 
@@ -393,14 +440,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [" ".join(sorted(words_of(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), batch.column(2)], names=["i", "words", "y"])
+            bags = ["\n".join(sentences_of(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.string()), batch.column(2)], names=["i", "bags", "y"])
 
-    texts = arrow_ready(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(some), "i").select("i", "t", "y")).mapInArrow(split, "i long, words string, y int")
-    interned: dict[str, str] = {}
-    # In the order of a hash of the id, so that every part of the sample is a draw from it.
-    rows = sorted(((zlib.crc32(str(r.i).encode()), r.i, r.y, {interned.setdefault(w, w) for w in r.words.split(" ") if w}) for r in texts.collect()), key=lambda r: (r[0], r[1], len(r[3]), min(r[3], default="")))
-    return train([w for *_, y, w in rows if y > 0], [w for *_, y, w in rows if y <= 0], n.get(1, 0) / max(1, sum(n.values())))
+    texts = arrow_ready(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(some), "i").select("i", "t", "y")).mapInArrow(split, "i long, bags string, y int")
+    rows = sorted(((zlib.crc32(str(r.i).encode()), r.i, r.bags, r.y) for r in texts.collect()), key=lambda r: r[:3])
+    return train(*[[[s for s in bags.split("\n") if s] for _, _, bags, y in rows if (y > 0) == bad] for bad in (True, False)], n.get(1, 0) / max(1, sum(n.values())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -424,9 +469,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             fresh = list(set().union(*texts) - known.keys())
             known.update(zip(fresh, held.words(fresh).tolist()))
             size += sum(map(len, fresh)) + _WORD_LETTERS * len(fresh)
-            top = [max(((known[w], w) for w in words), default=(held.bias, None)) for words in texts]
-            p = held.probability(np.array([s for s, _ in top], dtype=np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array([w for _, w in top], pa.string()), *batch.columns[2:]], names=names)
+            top = [held.worst(words, known) for words in texts]
+            p = held.probability(np.array([t[:2] for t in top], dtype=np.float64).reshape(-1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array([t[2] for t in top], pa.string()), *batch.columns[2:]], names=names)
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     names = ["doc_id", "score", "worst", *[f"keep_{i}" for i in range(len(keep))]]

@@ -26,8 +26,21 @@ def test_kernel_against_definition():
 
 
 def test_words():
-    assert toxicity.words_of("Mo-Ron, m o r o n 12 Ünd") == {"^moron$", "^ünd$", "^m$", "^o$", "^r$", "^n$"}
-    assert toxicity.words_of(None) == set()
+    assert toxicity.words_of("Mo-Ron, m o r o n 12 Ünd") == {"^moron$": 2, "^ünd$": 1, "^m$": 1, "^o$": 2, "^r$": 1, "^n$": 1}
+    assert not toxicity.words_of(None) and toxicity.sentences_of(None) == []
+    assert toxicity.sentences_of("By a, by. C? ...\nD.e") == ["^a$ ^by$ ^by$", "^c$", "^de$"]
+
+
+def test_copies_teach_nothing_twice():
+    one, two = toxicity._by_label([["^x$ ^y$", "^z$"], ["^x$ ^y$"], ["^z$", "^q$ ^q$"]], [["^z$"], [], ["^z$", "^k$"]])
+    assert (one, two) == ([{"^x$", "^y$"}, set(), {"^q$"}], [{"^z$"}, set(), {"^k$"}])
+
+
+def test_two_worst_words():
+    model = toxicity.Model(bias=-2.0)
+    known = {"a": 1.0, "b": 3.0, "c": -2.0}
+    got = [model.worst(toxicity.Counter(words), known) for words in ("", "c", "bac", "cabb", "ccc")]
+    assert got == [(-1.0, -1.0, None), (-1.0, -1.0, "c"), (3.0, 1.0, "b"), (3.0, 3.0, "b"), (-1.0, -1.0, "c")]
 
 
 def corpus(n, seed):
