@@ -11,7 +11,8 @@ of the other terms, adjusted likewise, from rare to frequent.  What is left are
 phrase matches.  Proximity matches ask that all terms lie within the phrase's length
 and ``slop`` more words, in any order.
 
-The phrases go to all tasks, ``MAX_PHRASE_WORDS`` words of them at a time.  A larger
+A block looks up each distinct word of the phrases once and then only phrases whose
+words it all has.  The phrases go to all tasks, ``MAX_PHRASE_WORDS`` words of them at a time.  A larger
 benchmark is looked up in as many passes over the index as that takes, one after the
 other: the driver and the tasks hold the phrases of one pass, whose hits are written
 before the next is made.
@@ -151,7 +152,26 @@ class Block:
         return pivot[best]
 
 
-def phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int, parts: int, part: int) -> dict[tuple[bytes, ...], set]:
+class Phrases:
+    """Phrases with the ids of their items, and a table of their words by number."""
+
+    def __init__(self, items: dict[tuple[bytes, ...], set]):
+        self.phrases, self.items = list(items), list(items.values())
+        number: dict[bytes, int] = {}
+        rows = [[number.setdefault(w, len(number)) for w in p] for p in self.phrases]
+        self.vocabulary = list(number)
+        width = max(map(len, rows), default=1)
+        # Shorter phrases are filled up with a word that every block has.
+        self.words = np.array([r + [len(number)] * (width - len(r)) for r in rows], np.int32).reshape(-1, width)
+
+    def within(self, block: Block) -> Iterator[tuple[tuple[bytes, ...], set]]:
+        """Phrases all of whose words occur in the block."""
+        present = np.fromiter((w in block.number for w in self.vocabulary), bool, len(self.vocabulary))
+        held = np.append(present, True)[self.words].all(axis=1)
+        return ((self.phrases[i], self.items[i]) for i in np.flatnonzero(held).tolist())
+
+
+def phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int, parts: int, part: int) -> Phrases:
     """The windows of one part of the benchmark, each with the ids of the items that have it."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
     found: dict[tuple[bytes, ...], set] = defaultdict(set)
@@ -159,7 +179,7 @@ def phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int, par
         words = tokens((row.t or "").encode())
         for at in range(max(1, len(words) - window + 1)) if words else ():
             found[tuple(words[at : at + window])].add(row.i)
-    return dict(found)
+    return Phrases(found)
 
 
 def find(index: DataFrame, shared: Broadcast, slop: int | None = None) -> DataFrame:
@@ -175,7 +195,7 @@ def find(index: DataFrame, shared: Broadcast, slop: int | None = None) -> DataFr
                 block = Block(*row)
                 hits: dict[int, set] = defaultdict(set)
                 items: dict[int, set] = defaultdict(set)
-                for phrase, names in shared.value.items():
+                for phrase, names in shared.value.within(block):
                     places = block.phrase(phrase) if slop is None else block.near(phrase, slop)
                     for place, doc in zip(places.tolist(), (np.searchsorted(block.starts, places, side="right") - 1).tolist()):
                         hits[doc].add((place - int(block.starts[doc])) << 32 | (len(phrase) if slop is None else 1))
