@@ -420,7 +420,10 @@ def _best_cut(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> float:
 
 def _features(words: list[str], held: Landmarks, root: np.ndarray) -> np.ndarray:
     """Nystroem features of words."""
-    return np.vstack([np.zeros((0, root.shape[1]))] + [held.similarity(words[a : a + 20_000]) @ root for a in range(0, len(words), 20_000)])
+    out = np.empty((len(words), root.shape[1]))
+    for a in range(0, len(words), 5_000):
+        out[a : a + 5_000] = held.similarity(words[a : a + 5_000]) @ root
+    return out
 
 
 def held_out(doc_id):
