@@ -1,37 +1,38 @@
-"""Exact cosine links between embeddings by a subspace pigeonhole join.
-
-Vectors are normalised, rotated by a seeded orthogonal matrix, which spreads their
-variance evenly, put on a grid of integers and cut into ``blocks`` subspaces.  Two unit
-vectors of cosine ``c`` or more are ``2 - 2 c`` apart at most, squared; by the
-pigeonhole principle some block of theirs is within its proportional share of that
-budget (a little more, for what rounding may add).
-
-Each block is joined on its own, in Spark, by ``(block, cell)``: cells are cubes over
-the block's first coordinates whose width is the radius of its share.  A vector lives
-in its own cell and visits those neighbours, of the ones that come after it, that are
-within the radius.  Within a cell, pairs within the block's share are the candidates,
-and those are verified on the whole vectors in double precision.  Distances in a block
-are sums of small integers, so they are the same in every task, and a pair counts in
-the first block that it passes and in no other.
-
-Equal vectors are one class with a multiplicity from the start.  A cell of more than
-``CELL_LIMIT`` points is cut into a grid of chunk pairs, one group each.  What leaves
-a group is bounded by its rows: a count of links for each vector, and a spanning
-forest of the links.
-
-Vectors without any structure lie in a few cells around the middle, as many as there are
-within the radius.  For them cells rule out little, and the work grows faster than the
-rows; a pair then costs a product over one block's coordinates.
+"""Exact cosine links between embeddings by a range join of chunks.
+
+Vectors are normalised and rotated by a seeded orthogonal matrix, which spreads their
+variance evenly over the coordinates.  Equal vectors are one class with a multiplicity.
+Classes are dealt out by ranges of a cell, the signs of their leading coordinates, so
+that similar ones lie together, and packed into chunks: one row each, with the box of
+its points.  Two unit vectors of cosine ``c`` or more are ``2 - 2 c`` apart at most,
+squared, so two chunks meet only if their boxes are not farther apart.
+
+Chunks are joined by Spark as scans of one written table (no shuffle, no broadcast, no
+list of pairs): every class is written once and no copies of it are made, whatever the
+number of chunks that its own meets.  Disk stays in proportion to the rows; what
+repeats is reading.
+
+Within a pair of chunks, tiles of rows whose boxes are too far apart are left out.  For
+the others the coordinates are cut into ``blocks`` subspaces: the cosine is at most the
+product over the first half of them, plus the product of the two vectors' lengths in
+each other one.  This bound is one matrix product; few unrelated pairs pass.  Those are
+looked at whole, in single precision with its error allowed for, and in double precision
+wherever that leaves a doubt.  What leaves a pair of chunks is bounded by its rows: a
+count of links for each vector, and a spanning forest of the links.
+
+Vectors without any structure lie in boxes that all meet.  Then every pair of classes is
+in one product, and the work grows with the square of their number.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,18 +41,21 @@ from lodestitch.llm.base import arrow_ready
 from lodestitch.operators.components import connected_components
 from lodestitch.operators.scratch import Scratch
 
-#: Points that a cell may hold before it is cut into a grid of chunk pairs.
-CELL_LIMIT = 32_768
-#: Points of a cell that one more coordinate of the cubes is meant to split.
-CELL_TARGET = 16_384
-MAX_CUBE = 4
+#: Points that a chunk may hold, and bytes of their vectors.
+CELL_LIMIT = 65_536
+CELL_BYTES = 16 << 20
+#: Points that a chunk is meant to hold, and chunks that a table is cut into before they grow beyond the least.
+CELL_TARGET, CELL_LEAST, CELLS = 32_768, 4_096, 8
 SEED = 17
-#: Steps of the integer grid for a unit; sums of products stay exact in single precision.
-SCALE = 1_024
-#: Pairs looked at in one product, and pairs verified at once.
-_TILE, _PIECE = (256, 4_096), 1 << 18
+#: Coordinates whose signs are the cell.
+_SIGNS = 24
+#: Rows of two chunks in one product, and links that are held before they are merged.
+_TILE, _HELD = (256, 1_024), 1 << 20
+#: Share of a tile that may pass the bound before the tile is multiplied whole.
+_DENSE = 32
 
 
+@cache
 def rotation(dims: int) -> np.ndarray:
     """A fixed orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dims, dims)))
@@ -63,11 +67,9 @@ def cuts(dims: int, blocks: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def shares(dims: int, blocks: int, least: float) -> list[int]:
-    """Squared distance on the grid that a block may have: its share of the budget, and what rounding adds."""
-    budget = max(0.0, 2 - 2 * least) + 1e-9
-    radius = lambda d: SCALE * math.sqrt(budget * d / dims) + math.sqrt(d)
-    return [math.ceil(radius(p.stop - p.start) ** 2) for p in cuts(dims, blocks)]
+def slack(dims: int) -> float:
+    """More than a product of two unit vectors of single precision can be off."""
+    return (dims + 16) * 2.0**-21
 
 
 def usable(vector: Column) -> Column:
@@ -79,118 +81,82 @@ def usable(vector: Column) -> Column:
 def _scaled(v: np.ndarray) -> np.ndarray:
     """Rows times powers of two, so that squares neither overflow nor vanish; no digit is lost."""
     v = v.astype(np.float64)
-    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+    power = -np.frexp(np.maximum(v.max(axis=1), -v.min(axis=1)))[1][:, None]
+    return v * np.ldexp(1.0, power) if np.abs(power).max(initial=0) < 500 else np.ldexp(v, power)
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
+def _turned(v: np.ndarray) -> np.ndarray:
+    """The unit vectors of rows, rotated, in single precision."""
     v = _scaled(v)
-    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-
-
-def _rows(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-
-
-def cells(grid: np.ndarray, blocks: int, least: float, cube: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, block, cell, home) of all cells that the rows of the integer ``grid`` live in or visit."""
-    dims, out = grid.shape[1], []
-    for block, (part, share) in enumerate(zip(cuts(dims, blocks), shares(dims, blocks, least))):
-        x = grid[:, part][:, :cube].astype(np.int64)
-        width = math.isqrt(share) + 1
-        at = x // width
-        steps = [np.zeros_like(x), (at + 1) * width - x, x - at * width + 1]  # to the same cell, the next and the one before
-        for shift in product((0, 1, -1), repeat=x.shape[1]):
-            if shift < (0,) * len(shift):
-                continue  # the neighbour that comes before sends its points here
-            gap = sum(steps[s][:, i] ** 2 for i, s in enumerate(shift))
-            rows = np.flatnonzero(gap <= share)
-            cell = np.zeros(len(rows), np.int64)
-            for i, s in enumerate(shift):
-                cell = (cell << 14) + at[rows, i] + s + (1 << 13)
-            out.append((rows, np.full(len(rows), block), cell, np.full(len(rows), not any(shift))))
-    rows, block, cell, home = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(rows, kind="stable")
-    return rows[order], block[order], cell[order], home[order]
-
-
-def _placed(classes: DataFrame, blocks: int, least: float, cube: int) -> DataFrame:
-    """``classes`` with the integer grid of their vectors, ``q``, and all their cells, ``meets``."""
-    kind = classes.schema["v"].dataType.simpleString()
-    meets = pa.struct([("block", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_())])
+    return (v @ rotation(v.shape[1]) / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]).astype(np.float32)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            widths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for dims in np.unique(widths).tolist():
-                part = batch.filter(pa.array(widths == dims))
-                grid = np.rint(_unit(_rows(part.column(2), dims)) @ rotation(dims) * SCALE).astype(np.int16)
-                rows, block, cell, home = cells(grid, blocks, least, cube)
-                ends = np.searchsorted(rows, np.arange(len(grid) + 1)).astype(np.int32)
-                found = pa.StructArray.from_arrays([pa.array(block.astype(np.int32)), pa.array(cell), pa.array(home)], fields=list(meets))
-                q = pa.ListArray.from_arrays(np.arange(len(grid) + 1, dtype=np.int32) * np.int32(dims), pa.array(grid.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(grid), dims, np.int32)), q, pa.ListArray.from_arrays(ends, found)], names=["rep", "size", "v", "dims", "q", "meets"])
-
-    schema = f"rep long, size long, v {kind}, dims int, q array<short>, meets array<struct<block:int,cell:long,home:boolean>>"
-    return arrow_ready(classes.select("rep", "size", "v")).mapInArrow(place, schema)
-
-
-def _near(x: np.ndarray, y: np.ndarray, share: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of two sets of grid points within ``share`` (``a < b`` within one set)."""
-    x, y = x.astype(np.float32), y.astype(np.float32)
-    half = lambda a: (a * a).sum(axis=1, keepdims=True) / 2
-    ones = lambda a: np.ones((len(a), 1), np.float32)
-    # -|a - b|^2 / 2 as one product
-    left, right = np.hstack([x, -half(x), ones(x)]), np.hstack([y, ones(y), -half(y)]).T
-    for top, first in product(range(0, len(x), _TILE[0]), range(0, len(y), _TILE[1])):
+
+class Points:
+    """The vectors of a chunk, with all that its meetings need of them."""
+
+    def __init__(self, v: np.ndarray, blocks: int):
+        self.v, self.unit = v, _turned(v)
+        parts = cuts(v.shape[1], blocks)
+        head = (len(parts) + 1) // 2
+        lengths = [np.sqrt(np.einsum("ij,ij->i", self.unit[:, p], self.unit[:, p]))[:, None] for p in parts[head:]]
+        self.bound = np.hstack([self.unit[:, : parts[head - 1].stop], *lengths])
+
+    def __len__(self) -> int:
+        return len(self.unit)
+
+    @cached_property
+    def boxes(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the tiles, as they are cut on the left and on the right."""
+        starts = [np.arange(0, len(self), rows) for rows in _TILE]
+        return [(np.minimum.reduceat(self.unit, at), np.maximum.reduceat(self.unit, at)) for at in starts]
+
+    def cosines(self, rows: np.ndarray, other: Points, others: np.ndarray) -> np.ndarray:
+        """In double precision, of the vectors as they came."""
+        a, b = _scaled(self.v[rows]), _scaled(other.v[others])
+        return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+
+
+def _meeting(x: Points, y: Points, least: float) -> np.ndarray:
+    """Which tiles of two chunks have boxes near enough."""
+    (xl, xh), (yl, yh) = x.boxes[0], y.boxes[1]
+    gap = np.maximum(0, np.maximum(xl[:, None] - yh[None], yl[None] - xh[:, None])).astype(np.float64)
+    return (gap * gap).sum(axis=2) <= 2 - 2 * least + 2 * slack(x.unit.shape[1])
+
+
+def chunk_links(x: Points, y: Points, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the linked pairs of two chunks (``i < j`` if they are the same one), tile by tile."""
+    same, doubt = x is y, slack(x.unit.shape[1])
+    right = [np.ascontiguousarray(y.bound[first : first + _TILE[1]].T) for first in range(0, len(y), _TILE[1])]
+    full = np.empty(_TILE, np.float32)
+    for s, t in np.argwhere(_meeting(x, y, least)):
+        top, first = s * _TILE[0], t * _TILE[1]
         if same and first + _TILE[1] <= top:
             continue
-        tile = left[top : top + _TILE[0]] @ right[:, first : first + _TILE[1]]
-        some = np.flatnonzero(tile.max(axis=1) >= -share / 2)
-        i, j = np.nonzero(tile[some] >= -share / 2)
-        i, j = some[i] + top, j + first
+        left = x.bound[top : top + _TILE[0]]
+        tile = np.matmul(left, right[t], out=full if (len(left), right[t].shape[1]) == _TILE else None)
+        if tile.max() < least - doubt:
+            continue
+        some = np.flatnonzero(tile.max(axis=1) >= least - doubt)
+        i, j = np.nonzero(tile[some] >= least - doubt)
+        if len(i) * _DENSE > tile.size:
+            tile = x.unit[top : top + _TILE[0]] @ y.unit[first : first + _TILE[1]].T
+            i, j = np.nonzero(tile >= least - doubt)
+            cosine = tile[i, j]
+            i, j = i + top, j + first
+        else:
+            i, j = some[i] + top, j + first
+            cosine = np.einsum("ij,ij->i", x.unit[i], y.unit[j])
+        ok = cosine >= least + doubt
+        unsure = np.flatnonzero(~ok & (cosine >= least - doubt))
+        if len(unsure):
+            ok[unsure] = x.cosines(i[unsure], y, j[unsure]) >= least
         if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        for at in range(0, len(i), _PIECE):
-            yield i[at : at + _PIECE], j[at : at + _PIECE]
-
+            ok &= i < j
+        yield i[ok], j[ok]
 
-def cell_links(whole: np.ndarray, grid: np.ndarray, home: np.ndarray, side: np.ndarray | None, block: int, least: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the linked pairs that a cell has to count for ``block``.
 
-    Pairs have a home point.  With ``side`` they lie across the two chunks it tells apart.
-    """
-    dims = grid.shape[1]
-    parts, share = cuts(dims, blocks), shares(dims, blocks, least)
-    square = np.einsum("ij,ij->i", whole, whole)
-    mine = grid[:, parts[block]]
-    lives, visits = np.flatnonzero(home), np.flatnonzero(~home)
-    if side is None:
-        sets = [(lives, lives, True), (visits, lives, False)]
-    else:
-        a, b = side[lives], side[visits]
-        sets = [(lives[~a], lives[a], False), (lives[~a], visits[b], False), (visits[~b], lives[a], False)]
-    found = []
-    for xs, ys, same in sets:
-        if not len(xs) or not len(ys):
-            continue
-        for i, j in _near(mine[xs], mine[ys], share[block], same):
-            i, j = xs[i], ys[j]
-            ok = np.einsum("ij,ij->i", whole[i], whole[j]) / np.sqrt(square[i] * square[j]) >= least
-            i, j = i[ok], j[ok]
-            for p, s in zip(parts[:block], share[:block]):
-                gap = grid[i, p].astype(np.int64) - grid[j, p]
-                later = (gap * gap).sum(axis=1) > s
-                i, j = i[later], j[later]
-            found.append((i, j))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node of its component, by hooking and jumping."""
-    label = np.arange(n)
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the least node of each node's component, with more edges, by hooking and jumping."""
     while len(a):
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, label[a], low)
@@ -202,33 +168,115 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(classes: DataFrame, n: int, store: Scratch, least: float, blocks: int) -> DataFrame:
+def meet(x: Points, y: Points, sizes: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row of two chunks with multiplicities ``sizes``, and the least row linked, rows of ``y`` after those of ``x``."""
+    after = 0 if x is y else len(x)
+    degree, label = np.zeros(after + len(y)), np.arange(after + len(y))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in chunk_links(x, y, least):
+        if not len(i):
+            continue
+        for rows, others, weights in ((i, j, sizes[1]), (j + after, i, sizes[0])):
+            start = rows.min()
+            more = np.bincount(rows - start, weights[others])
+            degree[start : start + len(more)] += more
+        a, b = i, j + after
+        open_ = label[a] != label[b]
+        if open_.any():
+            held.append((a[open_], b[open_]))
+        if sum(len(h[0]) for h in held) > _HELD:
+            label, held = _joined(label, *map(np.concatenate, zip(*held))), []
+    if held:
+        label = _joined(label, *map(np.concatenate, zip(*held)))
+    return degree, label
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the length of their vectors, ``dims``, and the cell they lie in."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("dims", T.IntegerType()), T.StructField("cell", T.LongType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch["v"]
+            widths = v.value_lengths().to_numpy(zero_copy_only=False)
+            cell = np.zeros(len(widths), np.int64)
+            for dims in np.unique(widths).tolist():
+                here = np.flatnonzero(widths == dims)
+                signs = _turned(v.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))[:, :_SIGNS] > 0
+                cell[here] = signs @ (1 << np.arange(signs.shape[1])[::-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(widths.astype(np.int32)), pa.array(cell)], names=schema.names)
+
+    return arrow_ready(rows).mapInArrow(place, schema)
+
+
+def _chunks(classes: DataFrame, rows: int, single: bool) -> DataFrame:
+    """Classes ``(a, b, least, size, v, dims, cell)``, of ``rows`` rows at most, in chunks, one row each.
+
+    A class is known by a number, ``chunk`` plus its place, never by an id, which rows may share.
+    """
+    limit, most, kind = CELL_LIMIT, CELL_BYTES, np.float32 if single else np.float64
+    order = ["dims", "cell", "a", "b"]
+    target = min(CELL_TARGET, max(CELL_LEAST, rows // CELLS))
+    dealt = classes.repartitionByRange(max(1, math.ceil(rows / target)), *order).sortWithinPartitions(*order)
+    longs = ("a", "b", "least", "size")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = TaskContext.get().partitionId() << 33, []
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal at, held
+            part, held = pa.Table.from_batches(held).combine_chunks().to_batches()[0], []
+            dims = part["dims"][0].as_py()
+            v = part["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(kind)
+            unit = _turned(v)
+            lists = [pa.array([x]) for x in (unit.min(axis=0), unit.max(axis=0))] + [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part[c]) for c in longs]
+            out = pa.RecordBatch.from_arrays([pa.array([at]), pa.array([dims], pa.int32()), *lists, pa.array([v.tobytes()], pa.binary())], names=["chunk", "dims", "lo", "hi", *longs, "v"])
+            at += len(part)
+            return out
+
+        for batch in batches:
+            dims, start = batch["dims"].to_numpy(), 0
+            while start < len(dims):
+                same = held and held[0]["dims"][0].as_py() == dims[start]
+                room = max(1, min(limit, most // (int(dims[start]) * kind().itemsize))) - sum(map(len, held))
+                if held and (not same or room <= 0):
+                    yield chunk()
+                    continue
+                stop = start + min(room, int(np.searchsorted(dims[start:], dims[start], "right")))
+                held.append(batch.slice(start, stop - start))
+                start = stop
+        if held:
+            yield chunk()
+
+    return dealt.mapInArrow(pack, "chunk long, dims int, lo array<float>, hi array<float>, a array<long>, b array<long>, least array<long>, size array<long>, v binary")
+
+
+def _links(chunks: DataFrame, least: float, blocks: int, single: bool) -> DataFrame:
     """``(rep, root, links)``: counts of links that add up, and edges that span them."""
-    cube = min(MAX_CUBE, max(1, math.ceil(math.log(max(1, n / CELL_TARGET), 3))))
-    placed = store.write(_placed(classes, blocks, least, cube))
-    keys = ["dims", "block", "cell"]
-    points = placed.select("dims", F.explode("meets").alias("m")).groupBy("dims", "m.block", "m.cell").agg(F.count(F.lit(1)).alias("points"))
-    # At most one row for each CELL_LIMIT points; Spark broadcasts it if it is small.
-    heavy = store.write(points.where(F.col("points") > CELL_LIMIT).select(*keys, F.ceil(F.col("points") / F.lit(CELL_LIMIT // 2)).cast("int").alias("cuts")), 1)
-    met = placed.select("rep", "size", "v", "dims", "q", F.explode("meets").alias("m")).select("rep", "size", "v", "dims", "q", "m.*")
-    met = met.join(heavy, keys, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    met = met.withColumn("meet", F.explode(meets)).select("rep", "size", "v", "q", "home", "own", *keys, "meet.i", "meet.j")
-
-    def meet(key: tuple, group: pa.Table) -> pa.Table:
-        dims, block, _, i, j = (k.as_py() for k in key)
-        group = group.combine_chunks()
-        flat = lambda name, kind: group[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(kind)
-        ids, sizes, home = (group[c].to_numpy() for c in ("rep", "size", "home"))
-        side = None if i == j else group["own"].to_numpy() == j
-        a, b = cell_links(_scaled(flat("v", np.float64)), flat("q", np.int16), home, side, block, least, blocks)
-        degree = np.bincount(a, sizes[b], len(ids)) + np.bincount(b, sizes[a], len(ids))
-        root = _forest(len(ids), a, b)
-        hit = np.flatnonzero(degree > 0)
-        return pa.table({"rep": pa.array(ids[hit], pa.int64()), "root": pa.array(ids[root[hit]], pa.int64()), "links": pa.array(degree[hit].astype(np.int64))})
-
-    return store.write(met.groupBy(*keys, "i", "j").applyInArrow(meet, "rep long, root long, links long"))
+    kind = np.float32 if single else np.float64
+    columns = ("chunk", "dims", "lo", "hi", "size", "v")
+    x, y = (chunks.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "xy")
+    over = lambda p, q: F.aggregate(F.zip_with(p, q, lambda lo, hi: F.greatest((lo - hi).cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, d: s + d * d)
+    near = over(F.col("lo_x"), F.col("hi_y")) + over(F.col("lo_y"), F.col("hi_x")) <= 2 - 2 * least + 2 * (F.col("dims_x") + 16) * 2.0**-21
+    met = x.hint("shuffle_replicate_nl").join(y, (F.col("chunk_x") <= F.col("chunk_y")) & (F.col("dims_x") == F.col("dims_y")) & near)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, x = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dims = batch["dims_x"][row].as_py()
+                points = lambda side: Points(np.frombuffer(batch[f"v_{side}"][row].as_buffer(), kind).reshape(-1, dims), blocks)  # noqa: B023, E731
+                a, b = batch["chunk_x"][row].as_py(), batch["chunk_y"][row].as_py()
+                if a != left:
+                    left, x = a, points("x")
+                y = x if a == b else points("y")
+                sizes = tuple(batch[f"size_{side}"][row].values.to_numpy() for side in "xy")
+                degree, label = meet(x, y, sizes, least)
+                ids = b + np.arange(len(y)) if a == b else np.concatenate([a + np.arange(len(x)), b + np.arange(len(y))])
+                hit = np.flatnonzero(degree)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[label[hit]]), pa.array(degree[hit].astype(np.int64))], names=["rep", "root", "links"])
+
+    return met.select("chunk_x", "chunk_y", "dims_x", "size_x", "size_y", "v_x", "v_y").mapInArrow(links, "rep long, root long, links long")
 
 
 def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, blocks: int = 4) -> DataFrame:
@@ -251,18 +299,21 @@ def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     vector = F.transform(F.col(vector_col).cast(f"array<{kind}>"), lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).withColumn("ok", usable(F.col("v")))
     # Equal vectors are grouped by two hashes: 128 bits.
-    rows = rows.withColumn("k", F.when(F.col("ok"), F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v", F.size("v")).alias("b"))))
-    classes = rows.where("ok").groupBy("k").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"))
-    # A class is known by a number given when it is written, never by an id, which rows may share.
-    classes = store.write(classes.select(F.monotonically_increasing_id().alias("rep"), "k", "least", "size", "v"))
-    n = classes.count()
-    found = _links(classes, n, store, least, blocks) if n else embeddings.sparkSession.createDataFrame([], "rep long, root long, links long")
+    hashes = (F.xxhash64("v"), F.xxhash64(F.lit(1), "v", F.size("v")))
+    rows = rows.select("vec_id", "v", *(F.when(F.col("ok"), h).alias(c) for c, h in zip("ab", hashes)))
+    classes = _placed(rows.where(F.col("a").isNotNull())).groupBy("a", "b").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"), F.min("dims").alias("dims"), F.min("cell").alias("cell"))
+    chunks = store.write(_chunks(classes, embeddings.count(), single))
+    found = store.write(_links(chunks, least, blocks, single))
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = connected_components(found, "rep", "root", store)
-    labels = classes.join(degrees, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    names = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    comps = connected_components(found, "rep", "root", store).withColumnRenamed("node", "rep")
+    members = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "least", "size")).alias("pos", "m")).select((F.col("chunk") + F.col("pos")).alias("rep"), "m.*")
+    # Most classes link with no other, and few rows need the number of a component.
+    names = members.join(comps, "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = store.write(degrees.join(comps, "rep").join(names, "component").select("rep", "links", "component_id", F.lit(True).alias("linked")))
+    labels = members.join(linked, "rep", "left")
+    component_id = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least"))
     # Written, so that a join on a very common vector meets a plain table and Spark can split it.
-    labels = store.write(labels.join(names, "component").select("k", "n_links", "component_id"))
-    out = rows.select("vec_id", "k").join(labels, "k", "left")
-    component = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    labels = store.write(labels.select("a", "b", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component_id.alias("component_id")))
+    out = rows.select("vec_id", "a", "b").join(labels, ["a", "b"], "left")
+    component = F.when(F.col("a").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -1,8 +1,10 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
 from lodestitch.llm import vectors
+from lodestitch.operators import scratch
 
 
 def brute(rows, least=0.9):
@@ -81,3 +83,44 @@ def test_dense_group_counts_every_link_once(spark, monkeypatch):
     want = brute(rows)
     assert sum(r[1] for r in want) > 50_000
     assert run(spark, rows) == want
+
+
+def written(spark):
+    """Bytes that Spark has shuffled, and bytes of all scratch tables."""
+    no_quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, no_quantiles, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) + sum(f.stat().st_size for f in Path(scratch.scratch_root(spark)).rglob("*.parquet"))
+
+
+def test_disk_stays_in_proportion_to_the_rows(spark, monkeypatch):
+    # many cells or chunks, as on a large table, of vectors without structure: nothing is copied to all that it meets
+    monkeypatch.setattr(vectors, "CELL_LIMIT", 200)
+    monkeypatch.setattr(vectors, "CELL_TARGET", 100)
+    x = np.random.default_rng(5).standard_normal((4_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    before = written(spark)
+    assert all(r.kept for r in vectors.link(df).collect())
+    assert written(spark) - before < 6 * x.nbytes  # four times the table, files of a hundred rows included
+
+
+def test_chunks_of_many_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 40))
+    x = np.vstack([x, x[rng.integers(900, size=1_500)] + rng.normal(0, 0.35, (1_500, 40)), x[0] + rng.normal(0, 0.2, (600, 40))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 300_000
+    names = np.arange(len(x))
+    while not np.array_equal(less := np.minimum(names, np.where(near, names, len(x)).min(axis=1)), names):
+        names = less
+    want = sorted(zip(names.tolist(), near.sum(axis=1).tolist()))
+    got = run(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert sorted((r[2], r[1]) for r in got) == want
+    monkeypatch.setattr(vectors, "_HELD", 50)
+    halves = [vectors.Points(h, 4) for h in np.array_split(x, 2)]
+    ones = [np.ones(len(h)) for h in halves]
+    degree, label = vectors.meet(*halves, ones, 0.9)
+    cross = near[: len(halves[0]), len(halves[0]) :]
+    assert degree.tolist() == [*cross.sum(axis=1), *cross.sum(axis=0)]
+    assert all(label[i] == label[len(halves[0]) + j] for i, j in np.argwhere(cross))
