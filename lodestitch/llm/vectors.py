@@ -42,17 +42,17 @@ from lodestitch.operators.components import connected_components
 from lodestitch.operators.scratch import Scratch
 
 #: Points that a chunk may hold, and bytes of their vectors.
-CELL_LIMIT = 65_536
+CELL_LIMIT = 32_768
 CELL_BYTES = 16 << 20
 #: Points that a chunk is meant to hold, and chunks that a table is cut into before they grow beyond the least.
-CELL_TARGET, CELL_LEAST, CELLS = 32_768, 4_096, 8
+CELL_TARGET, CELL_LEAST, CELLS = 24_576, 4_096, 8
 SEED = 17
 #: Coordinates whose signs are the cell.
 _SIGNS = 24
-#: Rows of two chunks in one product, and links that are held before they are merged.
-_TILE, _HELD = (256, 1_024), 1 << 20
+#: Rows of either chunk in one product, and links that are held before they are merged.
+_TILE, _HELD = 512, 1 << 20
 #: Share of a tile that may pass the bound before the tile is multiplied whole.
-_DENSE = 32
+_DENSE = 64
 
 
 @cache
@@ -105,10 +105,12 @@ class Points:
         return len(self.unit)
 
     @cached_property
-    def boxes(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of the tiles, as they are cut on the left and on the right."""
-        starts = [np.arange(0, len(self), rows) for rows in _TILE]
-        return [(np.minimum.reduceat(self.unit, at), np.maximum.reduceat(self.unit, at)) for at in starts]
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest coordinates of the tiles."""
+        n, dims = self.unit.shape
+        even = n - n % _TILE
+        tiles = [t for t in (self.unit[:even].reshape(-1, _TILE, dims), self.unit[None, even:]) if t.size]
+        return np.concatenate([t.min(axis=1) for t in tiles]), np.concatenate([t.max(axis=1) for t in tiles])
 
     def cosines(self, rows: np.ndarray, other: Points, others: np.ndarray) -> np.ndarray:
         """In double precision, of the vectors as they came."""
@@ -118,7 +120,7 @@ class Points:
 
 def _meeting(x: Points, y: Points, least: float) -> np.ndarray:
     """Which tiles of two chunks have boxes near enough."""
-    (xl, xh), (yl, yh) = x.boxes[0], y.boxes[1]
+    (xl, xh), (yl, yh) = x.boxes, y.boxes
     gap = np.maximum(0, np.maximum(xl[:, None] - yh[None], yl[None] - xh[:, None])).astype(np.float64)
     return (gap * gap).sum(axis=2) <= 2 - 2 * least + 2 * slack(x.unit.shape[1])
 
@@ -126,20 +128,20 @@ def _meeting(x: Points, y: Points, least: float) -> np.ndarray:
 def chunk_links(x: Points, y: Points, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the linked pairs of two chunks (``i < j`` if they are the same one), tile by tile."""
     same, doubt = x is y, slack(x.unit.shape[1])
-    right = [np.ascontiguousarray(y.bound[first : first + _TILE[1]].T) for first in range(0, len(y), _TILE[1])]
-    full = np.empty(_TILE, np.float32)
+    right = [np.ascontiguousarray(y.bound[first : first + _TILE].T) for first in range(0, len(y), _TILE)]
+    full = np.empty((_TILE, _TILE), np.float32)
     for s, t in np.argwhere(_meeting(x, y, least)):
-        top, first = s * _TILE[0], t * _TILE[1]
-        if same and first + _TILE[1] <= top:
+        if same and t < s:
             continue
-        left = x.bound[top : top + _TILE[0]]
-        tile = np.matmul(left, right[t], out=full if (len(left), right[t].shape[1]) == _TILE else None)
+        top, first = s * _TILE, t * _TILE
+        left = x.bound[top : top + _TILE]
+        tile = np.matmul(left, right[t], out=full if (len(left), right[t].shape[1]) == full.shape else None)
         if tile.max() < least - doubt:
             continue
         some = np.flatnonzero(tile.max(axis=1) >= least - doubt)
         i, j = np.nonzero(tile[some] >= least - doubt)
         if len(i) * _DENSE > tile.size:
-            tile = x.unit[top : top + _TILE[0]] @ y.unit[first : first + _TILE[1]].T
+            tile = x.unit[top : top + _TILE] @ y.unit[first : first + _TILE].T
             i, j = np.nonzero(tile >= least - doubt)
             cosine = tile[i, j]
             i, j = i + top, j + first
@@ -303,7 +305,8 @@ def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = rows.select("vec_id", "v", *(F.when(F.col("ok"), h).alias(c) for c, h in zip("ab", hashes)))
     classes = _placed(rows.where(F.col("a").isNotNull())).groupBy("a", "b").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"), F.min("dims").alias("dims"), F.min("cell").alias("cell"))
     chunks = store.write(_chunks(classes, embeddings.count(), single))
-    found = store.write(_links(chunks, least, blocks, single))
+    # Dealt out, so that the many tasks of the join write no file each.
+    found = store.write(_links(chunks, least, blocks, single).repartition("rep"))
     degrees = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found, "rep", "root", store).withColumnRenamed("node", "rep")
     members = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "least", "size")).alias("pos", "m")).select((F.col("chunk") + F.col("pos")).alias("rep"), "m.*")
