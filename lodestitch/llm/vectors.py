@@ -67,7 +67,7 @@ def cuts(dims: int, blocks: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def slack(dims: int) -> float:
+def slack(dims: int | Column) -> float | Column:
     """More than a product of two unit vectors of single precision can be off."""
     return (dims + 16) * 2.0**-21
 
@@ -259,7 +259,7 @@ def _links(chunks: DataFrame, least: float, blocks: int, single: bool) -> DataFr
     columns = ("chunk", "dims", "lo", "hi", "size", "v")
     x, y = (chunks.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "xy")
     over = lambda p, q: F.aggregate(F.zip_with(p, q, lambda lo, hi: F.greatest((lo - hi).cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, d: s + d * d)
-    near = over(F.col("lo_x"), F.col("hi_y")) + over(F.col("lo_y"), F.col("hi_x")) <= 2 - 2 * least + 2 * (F.col("dims_x") + 16) * 2.0**-21
+    near = over(F.col("lo_x"), F.col("hi_y")) + over(F.col("lo_y"), F.col("hi_x")) <= 2 - 2 * least + 2 * slack(F.col("dims_x"))
     met = x.hint("shuffle_replicate_nl").join(y, (F.col("chunk_x") <= F.col("chunk_y")) & (F.col("dims_x") == F.col("dims_y")) & near)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
