@@ -84,9 +84,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             name += "_input"
         taken.add(name.lower())
         names.append(name)
-    rows = Scratch(spark, "rows").write(docs.select(_whole(docs).alias("doc")).select("doc", F.monotonically_increasing_id().alias("row")))
-    mixed = mixing.mix(rows, "doc.doc_id", "doc.text", "doc.source", keep=("row",)).select("row", *new)
-    return rows.join(mixed, "row", "left").select(*[F.col("doc").getField(c).alias(n) for c, n in zip(docs.columns, names)], *new)
+    mixed = mixing.mix_whole(docs.select(_whole(docs).alias("doc")), ("doc",), "doc.doc_id", "doc.text", "doc.source")
+    return mixed.select(*[F.col("doc").getField(c).alias(n) for c, n in zip(docs.columns, names)], *new)
 
 
 STAGES = [

@@ -26,6 +26,8 @@ SHARD_DOCS = 1_000
 BLOCK_TOKENS = 32
 #: A source is used this many times at most.
 MAX_EPOCHS = 3
+#: Sources and shards whose shares go to every task; beyond, rows are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,23 +70,12 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
     return p.groupBy(*group, key, "a", "open").agg(won.alias("won")).select(*group, key, (F.col("a") + F.sign("open").cast("long") * F.col("won")).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
-    """How many words of each document a mixture by source weights takes.
+def _sizes(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size")]
 
-    Sources, in code point order and null last, have the ``weights`` in turn.  The
-    budget is the number of words of all documents.  Returns per input row
-    ``(doc_id, source, size, source_size, target, taken)``: target is its source's, and
-    taken counts repeats, so it reaches ``MAX_EPOCHS`` times the size at most.  Columns
-    in ``keep``, of other names than these, follow.
 
-    * A null or blank text has size 0 and is taken 0 times; a source without words has
-      target 0.  The null source is a source like any other.
-    * Repeated rows and null ids are rows of their own.  Equal rows are interchangeable,
-      so the result is the same multiset in every run.
-    * An empty table gives an empty result.
-    """
-    store = Scratch(docs.sparkSession, "mix")
-    sizes = store.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), *keep))
+def _quotas(sizes: DataFrame, store: Scratch, weights: tuple[float, ...]) -> DataFrame:
+    """A row per source: its target, number of shards and quota of blocks."""
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -95,16 +86,81 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TOKENS), F.floor(F.col("budget") / (200 * F.col("parties")))))
     sources = store.write(sources.withColumn("block", block.cast("long")).withColumn("seats", F.round(F.col("budget") / F.col("block")).cast("long")).withColumn("shards", F.ceil(F.col("rows") / SHARD_DOCS).cast("long")), 1)
     quotas = apportion(sources, [], "rank", "target", "seats").withColumnRenamed("quota", "source_quota")
-    quotas = store.write(sources.join(quotas, "rank").select("rank", F.col("source").alias("s"), "source_size", "target", "block", "shards", "source_quota"), 1)
+    return store.write(sources.join(quotas, "rank").select("rank", F.col("source").alias("s"), "source_size", "target", "block", "shards", "source_quota"), 1)
+
+
+def _placed(sizes: DataFrame, quotas: DataFrame, seed: int, *keep: str) -> DataFrame:
+    """Rows with the share of their source and their shard."""
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))
-    placed = store.write(sizes.join(quotas, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "block", "source_quota", "rank", shard.alias("shard"), *keep))
+    return sizes.join(quotas, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "block", "source_quota", "rank", shard.alias("shard"), *keep)
+
+
+def _turn(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 1), "doc_id")
+
+
+def _line(placed: DataFrame, seed: int, *tie: str) -> tuple[DataFrame, Column, Column]:
+    """The rows of every shard in line, how often all are taken, and how many more words from the front."""
     shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     dealt = apportion(shards, ["rank"], "shard", "shard_size", "source_quota")
-    order = Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("rank", "shard").orderBy(_turn(seed), "doc_id", "size", *tie)
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     line = placed.join(dealt, ["rank", "shard"]).withColumn("end", end).withColumn("shard_size", F.sum("size").over(Window.partitionBy("rank", "shard")))
     tokens = F.least(F.col("quota") * F.col("block"), MAX_EPOCHS * F.col("shard_size"))
     whole = F.when(F.col("shard_size") > 0, F.floor(tokens / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    part = tokens - whole * F.col("shard_size")
+    return line, whole, tokens - whole * F.col("shard_size")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
+    """How many words of each document a mixture by source weights takes.
+
+    Sources, in code point order and null last, have the ``weights`` in turn.  The
+    budget is the number of words of all documents.  Returns per input row
+    ``(doc_id, source, size, source_size, target, taken)``: target is its source's, and
+    taken counts repeats, so it reaches ``MAX_EPOCHS`` times the size at most.  Columns
+    in ``keep``, of other names than these, follow.
+
+    * A null or blank text has size 0 and is taken 0 times; a source without words has
+      target 0.  The null source is a source like any other.
+    * Repeated rows and null ids are rows of their own.  Equal rows are interchangeable,
+      so the result is the same multiset in every run.
+    * An empty table gives an empty result.
+    """
+    store = Scratch(docs.sparkSession, "mix")
+    sizes = store.write(docs.select(*_sizes(id_col, text_col, source_col), *keep))
+    placed = store.write(_placed(sizes, _quotas(sizes, store, weights), seed, *keep))
+    line, whole, part = _line(placed, seed)
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part - (F.col("end") - F.col("size"))))
     return line.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+
+
+def mix_whole(docs: DataFrame, keep: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 13) -> DataFrame:
+    """``mix`` for wide columns in ``keep``: they are written once and neither shuffled nor sorted.
+
+    Of a shard's line only the row in which the words taken from the front end is needed.
+    Rows before it are taken once more than those after it, so every row finds its share in
+    one small row a source and one a shard.  Rows of equal ids and sizes stand in line by
+    their place in the written table.  If there are over ``BROADCAST_ROWS`` small rows, the
+    shares are found for the narrow columns and joined with the wide ones.
+    """
+    store = Scratch(docs.sparkSession, "mix")
+    rows = store.write(docs.select(*_sizes(id_col, text_col, source_col), F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("kept")))
+    sizes = rows.select("doc_id", "source", "size", "row")
+    quotas = _quotas(sizes, store, weights)
+    line, whole, part = _line(_placed(sizes, quotas, seed, "row"), seed, "row")
+    place = F.struct(_turn(seed).alias("turn"), "doc_id", "size", "row")
+    cut = F.struct(place.alias("place"), whole.alias("whole"), (part - (F.col("end") - F.col("size"))).alias("left"))
+    cuts = line.where(F.col("end") > part).groupBy(F.col("rank").alias("r"), F.col("shard").alias("n")).agg(F.min(cut).alias("cut"))
+    cuts = store.write(cuts)
+    small = quotas.count() + cuts.count() <= BROADCAST_ROWS
+    names = ["source_size", "target", "taken"]
+
+    def shared(df: DataFrame, *others: str) -> DataFrame:
+        few, cut_at = (F.broadcast(quotas), F.broadcast(cuts)) if small else (quotas, cuts)
+        found = _placed(df, few, seed, "row", *others).join(cut_at, (F.col("rank") == F.col("r")) & (F.col("shard") == F.col("n")), "left")
+        front = F.when(place < F.col("cut.place"), F.col("size")).when(place == F.col("cut.place"), F.col("cut.left")).otherwise(F.lit(0))
+        taken = F.coalesce(F.col("cut.whole"), F.lit(0)) * F.col("size") + front  # a shard without a cut has no words
+        return found.withColumn("taken", taken.cast("long"))
+
+    mixed = shared(rows, "kept") if small else rows.join(shared(sizes).select("row", *names), "row")
+    return mixed.select("doc_id", "source", "size", *names, *[F.col("kept").getField(c).alias(c) for c in keep])

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from lodestitch.llm import mixing
 
@@ -67,3 +68,28 @@ def test_edges(spark):
     assert mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None, "t", 1)], empty.schema)
     assert [(r.size, r.target, r.taken) for r in mixing.mix(blank).collect()] == [(0, 0.0, 0)]
+
+
+def test_whole_rows_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 40)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2, d, d]), " ".join(["w"] * rng.choice([0, 1, 7, rng.randrange(60)])), rng.choice(["a", "a", "a", "b", None]), "blank" if d % 50 else None) for d in range(1200)]
+    rows += [(d, " ", "empty", None) for d in range(3)] + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rank string").repartition(5)
+    plain = Counter(map(tuple, mixing.mix(df).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = mixing.mix_whole(df, ("text", "rank"))
+        assert Counter(tuple(r)[:6] for r in got.collect()) == plain
+        assert Counter((r.doc_id, r.text, r.source, r.rank) for r in got.collect()) == Counter(rows)
+        assert sorted(map(str, got.collect())) == sorted(map(str, got.repartition(3).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+        far = mixing.mix_whole(df, ("text", "rank")).collect()
+        assert Counter(tuple(r)[:6] for r in far) == plain and Counter((r.doc_id, r.text, r.source, r.rank) for r in far) == Counter(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    empty = df.limit(0)
+    assert mixing.mix_whole(empty, ("text",)).count() == 0

@@ -105,3 +105,14 @@ def test_every_row_gets_its_own_share_of_the_mix(spark, tmp_path):
     assert all(r["size"] == len(r.text.split()) for r in got)
     key = lambda r: (r.doc_id, r.source, r["size"], r.source_size, r.target, r.taken)
     assert Counter(map(key, got)) == Counter(map(key, mixing.mix(df).collect()))
+
+
+def test_the_mix_leaves_texts_where_they_are(spark, tmp_path):
+    df = spark.createDataFrame([(d, f"text {d}", "en", "ab"[d % 2], 0) for d in range(50)], SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pipeline.mix_sources(spark, df, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
